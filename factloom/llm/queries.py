@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.io import table
-from factloom.llm import common, lookalike, pii
+from factloom.llm import common, lookalike, pii, scanned
 from factloom.operators.common import latest
 
 LOOKALIKE_FIELDS = ("entry_title", "description", "payer", "party_name", "counsel")
@@ -59,5 +59,19 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent(cells.unionByName(blocks), "text", _look_table(spark, d)).select("src", "row_id", "clean")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent)}
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    results = table(spark, d, "parse_results").where("extraction_method = 'ocr' AND length(full_text) > 0").select("result_id", "parsed_at", scanned.pages_of("full_text", "pages").alias("pages"))
+    results = latest(results, "result_id", "parsed_at", "pages").withColumnRenamed("result_id", "row_id")
+    blocks = table(spark, d, "text_blocks").where(F.col("content").contains("\n"))
+    return results, latest(blocks, "block_id", "received_at", "content").select(F.col("block_id").alias("row_id"), F.col("content").alias("text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per line and kind of noise in scanned texts."""
+    parts = scanned.repaired_parts(*_scanned(spark, d))
+    lines = [parts["furniture"], parts["cuts"].where("joined IS NOT NULL").select("src", "row_id", "line_no", F.lit("split_word").alias("kind")), parts["misread"].select("src", "row_id", "line_no", F.lit("misread").alias("kind")).distinct()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2]).select("src", "row_id", "line_no", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found)}
 ORACLES: dict[str, str] = {}
