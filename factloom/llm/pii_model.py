@@ -20,25 +20,27 @@ _CLASSES = {"Lu": len(ALPHABET) + 1, "Ll": len(ALPHABET) + 2, "Lo": len(ALPHABET
 SYMBOLS = len(ALPHABET) + 8
 
 
+_FOLDED: dict[int, str] = {ord(c): "'" for c in "’ʼ＇‘"}
+
+
 def fold(text: str) -> str:
     """Full-width and accented characters to their base, one for one, so that offsets stay those of the text."""
     if text.isascii():
         return text
-    out = []
-    for ch in text:
-        if ch in "’ʼ＇‘":
-            out.append("'")
-            continue
+    for ch in {c for c in text if ord(c) > 127 and ord(c) not in _FOLDED}:
         d = unicodedata.normalize("NFKD", ch)
-        out.append(d[0] if d and (len(d) == 1 or unicodedata.combining(d[1])) and d[0] != ch else ch)
-    return "".join(out)
+        _FOLDED[ord(ch)] = d[0] if d and (len(d) == 1 or unicodedata.combining(d[1])) else ch
+    return text.translate(_FOLDED)
+
+
+_ASCII = np.array([_ID.get(chr(i)) or SYMBOLS - 1 for i in range(128)], np.int64)
 
 
 def encode(text: str) -> np.ndarray:
-    ids = np.empty(len(text), np.int64)
-    for i, c in enumerate(fold(text)):
-        ids[i] = _ID.get(c) or _CLASSES.get(unicodedata.category(c), SYMBOLS - 1)
-    return ids
+    flat = fold(text)
+    if flat.isascii():
+        return _ASCII[np.frombuffer(flat.encode(), np.uint8)]
+    return np.array([_ID.get(c) or _CLASSES.get(unicodedata.category(c), SYMBOLS - 1) for c in flat], np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -78,9 +80,37 @@ def _run(p: dict, ids: np.ndarray, d: str, keep: bool = False):
     return (out, cache) if keep else out
 
 
+def _states(p: dict, ids: np.ndarray, d: str) -> np.ndarray:
+    """Hidden states as in _run, without what training keeps; one tanh gives all gates, since a sigmoid is a shifted tanh."""
+    steps, batch = ids.shape
+    hidden = p["Wh" + d].shape[0]
+    half = np.concatenate([np.full(3 * hidden, 0.5), np.ones(hidden)]).astype(np.float32)
+    table, wh = ((p["E"] @ p["Wx" + d] + p["b" + d]) * half).astype(np.float32), (p["Wh" + d] * half).astype(np.float32)
+    h, c = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
+    out = np.empty((steps, batch, hidden), np.float32)
+    full = (ids > 0).all(1)
+    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+        z = h @ wh
+        z += table[ids[t]]
+        np.tanh(z, out=z)
+        s = z[:, : 3 * hidden]
+        s *= 0.5
+        s += 0.5
+        c2 = s[:, hidden : 2 * hidden] * c
+        c2 += s[:, :hidden] * z[:, 3 * hidden :]
+        h2 = np.tanh(c2)
+        h2 *= s[:, 2 * hidden :]
+        if not full[t]:
+            m = (ids[t] > 0)[:, None]
+            c2, h2 = np.where(m, c2, c), np.where(m, h2, h)
+        h, c = h2, c2
+        out[t] = h
+    return out
+
+
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
     """(T, B, tags) scores of windows given as columns of ids (T, B)."""
-    return np.concatenate([_run(p, ids, "f"), _run(p, ids, "b")], 2) @ p["Wo"] + p["bo"]
+    return np.concatenate([_states(p, ids, "f"), _states(p, ids, "b")], 2) @ p["Wo"] + p["bo"]
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -178,21 +208,43 @@ def spans(tags: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
-def viterbi(p: dict, e: np.ndarray) -> np.ndarray:
+def viterbi(p: dict, scores: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tags of each text; texts of like length are decoded in step."""
     n = len(TAGS)
     allowed = np.array([[not TAGS[j].startswith("I") or TAGS[i][2:] == TAGS[j][2:] for j in range(n)] for i in range(n)])
-    trans = np.where(allowed, p["T"], -1e4)
-    score = p["Ts"] + e[0] + np.array([-1e4 if t.startswith("I") else 0 for t in TAGS])
-    back = np.empty(e.shape, np.int16)
-    for t in range(1, len(e)):
-        every = score[:, None] + trans
-        back[t] = every.argmax(0)
-        score = every[back[t], np.arange(n)] + e[t]
-    path = np.empty(len(e), np.int64)
-    path[-1] = (score + p["Te"]).argmax()
-    for t in range(len(e) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    trans = np.where(allowed, p["T"], -1e4).astype(np.float32).T[None]  # (1, to, from)
+    start = p["Ts"] + np.array([-1e4 if t.startswith("I") else 0 for t in TAGS], np.float32)
+    out: list = [None] * len(scores)
+    order, at = sorted(range(len(scores)), key=lambda k: len(scores[k])), 0
+    while at < len(order):
+        longest = len(scores[order[at]])
+        part = [order[at]]
+        while at + len(part) < len(order) and len(part) < 128 and len(scores[order[at + len(part)]]) <= longest * 1.25 + 8:
+            part.append(order[at + len(part)])
+        at += len(part)
+        steps, cols = len(scores[part[-1]]), np.arange(len(part))
+        e = np.zeros((steps, len(part), n), np.float32)
+        for col, k in enumerate(part):
+            e[: len(scores[k]), col] = scores[k]
+        ends = np.array([len(scores[k]) - 1 for k in part])
+        score, back, last = start + e[0], np.empty((steps, len(part), n), np.int8), np.empty(len(part), np.int64)
+        for t in range(steps):
+            if t:
+                every = score[:, None, :] + trans
+                back[t] = best = every.argmax(2)
+                score = np.take_along_axis(every, best[:, :, None], 2)[:, :, 0] + e[t]
+            for col in np.flatnonzero(ends == t):
+                last[col] = (score[col] + p["Te"]).argmax()
+        path = np.zeros((steps, len(part)), np.int64)
+        now = last.copy()
+        for t in range(steps - 1, -1, -1):
+            now = np.where(ends == t, last, now)
+            path[t] = now
+            if t:
+                now = np.where(ends >= t, back[t, cols, now], now)
+        for col, k in enumerate(part):
+            out[k] = path[: len(scores[k]), col]
+    return out
 
 
 def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[str, int, int]]]:
@@ -216,13 +268,11 @@ def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[str,
                 w[size // 2 :] = size
             total[k][b:e] += scores[:size, col] * w[:, None]
             weight[k][b:e] += w
-    out = []
-    for s, w in zip(total, weight):
-        if not len(w):
-            out.append([])
-            continue
-        e = s / w[:, None]
-        out.append(spans(viterbi(p, e)) if (e[:, 1:].max(1) > e[:, 0] - 6).any() else [])
+    scores = [s / w[:, None] if len(w) else s for s, w in zip(total, weight)]
+    worth = [k for k, e in enumerate(scores) if len(e) and (e[:, 1:].max(1) > e[:, 0] - 6).any()]
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for k, tags in zip(worth, viterbi(p, [scores[k] for k in worth])):
+        out[k] = spans(tags)
     return out
 
 
