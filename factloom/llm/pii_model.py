@@ -276,8 +276,8 @@ def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[str,
     return out
 
 
-def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], *, epochs: int = 8, batch: int = 64, rate: float = 4e-3, window: int = 96, seed: int = 7, minutes: float = 15, log=print) -> dict[str, np.ndarray]:
-    """Adam over windows of labelled texts: (text, [(kind, begin, end)])."""
+def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], *, epochs: int = 8, batch: int = 64, rate: float = 4e-3, window: int = 96, seed: int = 7, minutes: float = 15, start: dict | None = None, log=print) -> dict[str, np.ndarray]:
+    """Adam over windows of labelled texts: (text, [(kind, begin, end)]); `start` goes on from earlier weights."""
     import time
 
     number = {t: i for i, t in enumerate(TAGS)}
@@ -288,7 +288,7 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], *, epochs: int =
             y[b:e] = number["I-" + kind]
             y[b] = number["B-" + kind]
         jobs += [(ids[b:e], y[b:e]) for b, e in windows(len(ids), window, 24) if e > b]
-    p = init(seed=seed)
+    p = {k: v.copy() for k, v in start.items()} if start else init(seed=seed)
     mean, var, n, began = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0, time.time()
     average = {k: v.copy() for k, v in p.items()}
     steps = epochs * (len(jobs) // batch + 1)

@@ -30,6 +30,7 @@ _ADDRESS = (
     rf"(?:(?:{_UNITS}\s?\w+,\s+)?(?:\d+\w?,?\s+(?:{_W}\s+)*{_W}\s+{_STREETS}\b\.?|{_W}(?:\s{_W})?\s{_HOUSES},\s+(?:{_W}\s+)+{_STREETS}\b\.?){_TAIL})"
     rf"|(?:C/|Calle|Avda\.?|Plaza|Paseo)\s?(?:{_W}|de|la|del|los|las)(?:\s(?:{_W}|de|la|del|los|las))*[,]?\s+(?:n\.?[ºo°]\s?)?\d+(?:,\s+\d+\.?[ºo°]\s?\w+)?(?:,\s+\d{{5}}\s+{_PLACE})?"
     rf"|\d+(?:\s(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|impasse|allée|allee|quai|chemin|cours)\s+[\p{{L}}' -]+?,\s+\d{{5}}\s+{_PLACE}"
+    rf"|(?:Am|An der|Im|Zum|Zur|Auf der|In der|Unter den|Beim)\s{_W}(?:\s{_W})?\s+\d+\w?,\s+\d{{5}}\s+{_PLACE}"
     rf"|{_W}(?:er|[-\s]{_W})?(?:straße|strasse|strabe|stra.e|gasse|weg|allee|platz|ufer|damm|\s(?:Straße|Strasse|Stra.e|Weg|Allee|Platz|Gasse|Ufer|Damm|Ring))\s+\d+\w?,\s+\d{{5}}\s+{_PLACE}"
 )
 EXACT = {k: re.compile(v) for k, v in (("email", _E), ("account", _ACCOUNT), ("identity", _IDENTITY), ("phone", _PHONE), ("address", _ADDRESS))}

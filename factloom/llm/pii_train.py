@@ -1,4 +1,4 @@
-"""Trains the model of personal items: python -m factloom.llm.pii_train FOLDER [ROWS].
+"""Trains the model of personal items: python -m factloom.llm.pii_train FOLDER [ROWS [EPOCHS [more]]].
 
 Labelled spans come from at most ROWS texts of each source (a bounded, documented sample; the default is 9000): the exact forms mark
 e-mail addresses, numbers and street addresses, the clean subject_name column marks names. Copies with other digits, other letter
@@ -64,12 +64,13 @@ def examples(folder: str, rows: int, seed: int = 7) -> list[tuple[str, list]]:
     return out
 
 
-def main(folder: str, rows: int = 9000, minutes: float = 12) -> None:
+def main(folder: str, rows: int = 9000, epochs: int = 6, more: str = "", minutes: float = 20) -> None:
     r, every = random.Random(11), examples(folder, rows)
     r.shuffle(every)
     held, train = every[: len(every) // 10], every[len(every) // 10 :]
     train = train + [_varied(t, f, r) for t, f in train if f]
-    p = pii_model.fit(train, minutes=minutes, log=lambda s: print(s, flush=True))
+    start = {k: v.astype(np.float32) for k, v in np.load(WEIGHTS).items()} if more else None
+    p = pii_model.fit(train, epochs=epochs, rate=1e-3 if more else 4e-3, start=start, minutes=minutes, log=lambda s: print(s, flush=True))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
     right = wanted = got = 0
     for (t, f), d in zip(held, pii_model.decode(p, [t for t, _ in held])):
@@ -79,4 +80,4 @@ def main(folder: str, rows: int = 9000, minutes: float = 12) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *[int(x) for x in sys.argv[2:3]])
+    main(sys.argv[1], *[int(x) for x in sys.argv[2:4]], *sys.argv[4:5])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.io import table
-from factloom.llm import common, lookalike, pii, scanned
+from factloom.llm import common, lookalike, pii, residue, scanned
 from factloom.operators.common import latest
 
 LOOKALIKE_FIELDS = ("entry_title", "description", "payer", "party_name", "counsel")
@@ -73,5 +73,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lines[0].unionByName(lines[1]).unionByName(lines[2]).select("src", "row_id", "line_no", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found)}
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices, with the evidence."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "docket_no", "source", "ruling_no")
+    docs = docs.repartition(common.tasks(docs, 1 << 20))
+    return residue.residue(docs, "doc_id", "text", slug="docket_no", host="source", unit="ruling_no").select("doc_id", F.array_join("evidence", ",").alias("evidence"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to leave out."""
+    return p10_residue(spark, d).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that stay, by source."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return docs.join(p10_found(spark, d), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p10_found, p10_residue, p10_kept)}
 ORACLES: dict[str, str] = {}
