@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import checkpoint_dir
+
 #: Rows up to which a side input is broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 20_000
 
@@ -29,3 +33,17 @@ def text_or_null(c: Column) -> Column:
 def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Adds columns behind a one-row generator, so that what is built on them refers to values and isn't expanded into one huge expression."""
     return df.select(*[c for c in df.columns if c not in cols], F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared checkpoint folder and read from there: several readers don't compute them again, the
+    plan stays small, and a lost executor loses nothing. `drop_materialized` removes the tables of this application."""
+    path = f"{checkpoint_dir(df.sparkSession)}/factloom-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Removes the tables that this application has written to the checkpoint folder; to be called when its results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/factloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

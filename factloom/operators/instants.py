@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.common import guarded_broadcast, staged
+from factloom.operators.common import guarded_broadcast, latest, materialized, staged
 
 # First letters by which a month is known in English, German, French and Spanish.
 MONTHS = {
@@ -147,13 +147,17 @@ def estimate_zones(timed: DataFrame, source: str, group: Sequence[str], arrived:
     return best.select(source, F.col("_b.zone").alias("zone"), F.col("_b.violations").alias("violations"), F.col("_b.evidence").alias("evidence"))
 
 
-def to_instants(df: DataFrame, sources: DataFrame, *, text: str = "value", source: str = "feed_id", zone: str = "tz_name", date_order: str = "date_order", group: Sequence[str] = ("record_id", "field_key"), arrived: str = "ingested_at", candidates: Sequence[str] = CANDIDATES) -> DataFrame:
-    """The rows of df with `instant` (seconds since 1970, or null). Rows whose source is unknown keep what their text alone fixes."""
-    own = [c for c in df.columns]
+def to_instants(df: DataFrame, sources: DataFrame, *, text: str = "value", source: str = "feed_id", zone: str = "tz_name", date_order: str = "date_order", key: str = "cell_id", group: Sequence[str] = ("record_id", "field_key"), arrived: str = "ingested_at", candidates: Sequence[str] = CANDIDATES) -> DataFrame:
+    """(key, group, source, text, instant): the latest delivery of each row with its instant in seconds since 1970, or null.
+
+    Texts are read before the rows are shuffled by key, once for all that follows. Rows whose source is unknown keep what their
+    text alone fixes. Columns of df other than those named are left out.
+    """
     side = sources.select(F.col(source).alias("_source"), F.col(zone).alias("_zone"), F.col(date_order).alias("_declared_order")).where(F.col(source).isNotNull()).dropDuplicates(["_source"])
-    timed = read_times(df.join(guarded_broadcast(side), F.col(source) == F.col("_source"), "left"), text, "_declared_order", "_zone")
+    given = df.select(key, *group, source, text, arrived).join(guarded_broadcast(side), F.col(source) == F.col("_source"), "left")
+    timed = materialized(latest(read_times(given, text, "_declared_order", "_zone"), key, arrived, *group, source, text, arrived, "_abs", "_wall", "_named", "_zone"))
     found = estimate_zones(timed, source, group, arrived, candidates).select(F.col(source).alias("_esource"), F.col("zone").alias("_ezone"))
     timed = timed.join(F.broadcast(found), F.col(source) == F.col("_esource"), "left")  # one row per source, as bounded as `sources`
     use = F.coalesce(F.col("_named"), F.col("_zone"), F.col("_ezone"))
     instant = F.coalesce(F.col("_abs"), F.when(F.col("_wall").isNotNull() & use.isNotNull(), wall_seconds(F.col("_wall"), use)))
-    return timed.select(*own, instant.alias("instant"))
+    return timed.select(key, *group, source, text, instant.alias("instant"))

@@ -13,8 +13,7 @@ AMOUNTS = ("total_amount", "costs_awarded", "security_deposit", "filing_fee")
 
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "audit_cells").where(F.col("field_key").endswith("_at"))
-    return latest(cells, "cell_id", "ingested_at", "record_id", "field_key", "feed_id", "value", "ingested_at")
+    return table(spark, d, "audit_cells").where(F.col("field_key").endswith("_at"))
 
 
 def p3_instants(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +33,7 @@ def p3_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zone that fits each feed's wall times best, found without its declared zone."""
     feeds = table(spark, d, "feeds").select("feed_id", F.lit(None).cast("string").alias("_zone"), F.col("date_order").alias("_declared_order"))
     timed = instants.read_times(_times(spark, d).join(F.broadcast(feeds), "feed_id"), "value", "_declared_order", "_zone")
+    timed = latest(timed, "cell_id", "ingested_at", "record_id", "field_key", "feed_id", "ingested_at", "_abs", "_wall", "_named")
     return instants.estimate_zones(timed, "feed_id", ["record_id", "field_key"], "ingested_at")
 
 
