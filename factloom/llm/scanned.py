@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common
-from factloom.operators.common import guarded_broadcast
+from factloom.operators.common import guarded_broadcast, materialized
 
 # What is printed and what scans read instead.
 CONFUSIONS = [("o", "0"), ("l", "1"), ("s", "5"), ("b", "6"), ("B", "8"), ("g", "9"), ("i", "!"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"), ("u", "ii"), ("t", "f"), ("e", "c"), ("i", "l"), ("I", "l"), ("l", "I"), ("li", "h"), ("cl", "d"), ("rn", "m"), ("O", "0"), ("S", "5"), ("I", "1"), ("c", "e"), ("f", "t"), ("i", "1"), ("q", "9"), ("z", "2"), ("a", "4"), ("n", "ri"), ("fi", "fl")]
@@ -177,14 +177,14 @@ def repaired_parts(results: DataFrame, blocks: DataFrame) -> dict[str, DataFrame
     """All findings of scanned texts. results: (row_id, pages); blocks: (row_id, text). Frames with the key (src, row_id): `furniture`
     (line_no, kind), `cuts` (line_no, next_no, a, b, joined, right) and `misread` (line_no, word, right)."""
     keys = ["row_id"]
-    rows = page_lines(results, keys, "pages")
-    found = furniture(rows, keys)
+    rows = materialized(page_lines(results, keys, "pages"))
+    found = materialized(furniture(rows, keys))
     body = rows.where("top IS NOT NULL").join(found.select(*keys, "line_no").distinct(), [*keys, "line_no"], "left_anti").select(*keys, "line_no", "line")
     ends = _ends(body, keys).withColumn("src", F.lit("result")).unionByName(_ends(lines(blocks, keys, "text").where(F.length(F.trim("line")) > 0), keys).withColumn("src", F.lit("block")))
-    both = ["src", *keys]
+    ends, both = materialized(ends), ["src", *keys]
     words = _tokens(ends, both)
-    vocab = vocabulary(words)
-    fixes = guarded_broadcast(repairs(vocab), 200_000)
+    vocab = materialized(vocabulary(words))
+    fixes = guarded_broadcast(materialized(repairs(vocab)), 200_000)
     cuts = decided(ends, vocab, fixes, both)
     plain = words.withColumn("_low", F.lower("word")).join(fixes.withColumnRenamed("word", "_low"), "_low").select(*both, "line_no", "word", "right")
     # a misread split word: the line that holds the part which differs
