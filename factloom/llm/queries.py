@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.io import table
-from factloom.llm import common, lookalike, pii, residue, scanned
+from factloom.llm import common, lookalike, mixing, packing, pieces, pii, residue, scanned
 from factloom.operators.common import latest
 
 LOOKALIKE_FIELDS = ("entry_title", "description", "payer", "party_name", "counsel")
@@ -91,5 +91,59 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(p10_found(spark, d), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p10_found, p10_residue, p10_kept)}
+def _results(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
+    results = table(spark, d, "parse_results").where(F.expr(only) & (F.length("full_text") > 0))
+    return common.latest_texts(results, "result_id", "parsed_at", "full_text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that no cut at a natural boundary makes small enough."""
+    return pieces.unsplittable(_results(spark, d, "extraction_method = 'digital'"), "result_id", "full_text")
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every result's full text, at most 1,800 characters each with 200 characters of overlap."""
+    return pieces.pieces(_results(spark, d), "result_id", "full_text")
+
+
+def p7_page_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every page's text, at most 1,800 characters each with 200 characters of overlap."""
+    results = table(spark, d, "parse_results").where(F.size("pages") > 0)
+    pages = common.latest_texts(results, "result_id", "parsed_at", "pages").select("result_id", F.inline("pages"))
+    pages = pages.select(F.struct("result_id", "page_number").alias("page"), "page_text")
+    return pieces.pieces(pages, "page", "page_text").select("page.*", "piece_no", "begin_at", "overlap_chars", "piece")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return packing.sized(docs.repartition(common.tasks(docs, 1 << 20)), "text", ["doc_id", "source"])
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of each capacity: how many items and tokens each holds."""
+    placed = p8_placed(spark, d)
+    return placed.groupBy("pack_id", "capacity", "container").agg(F.count("*").alias("items"), F.sum("tokens").alias("filled"))
+
+
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every part of a document above the capacity, for each capacity."""
+    sizes = packing.materialized(_sized(spark, d).select("doc_id", "tokens"))
+    out = None
+    for r in table(spark, d, "pack_sizes").select("pack_id", "capacity_tokens").orderBy("pack_id").limit(100).collect():  # TESTDATA.md: three rows
+        one = packing.packed(sizes, "doc_id", "tokens", r["capacity_tokens"]).withColumns({"pack_id": F.lit(r["pack_id"]), "capacity": F.lit(r["capacity_tokens"])})
+        out = one if out is None else out.unionByName(one)
+    return out.select("pack_id", "capacity", "container", "doc_id", "part", "tokens")
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Every chosen document and how often it is repeated."""
+    return mixing.mixed(_sized(spark, d), table(spark, d, "mix_targets"), key="doc_id", source="source", size="tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The actual share of each source in the mixture beside its target."""
+    return mixing.shares(_sized(spark, d), table(spark, d, "mix_targets"), key="doc_id", source="source", size="tokens")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p7_found, p7_pieces, p7_page_pieces, p8_placed, p8_containers, p9_shares, p9_mixed, p10_found, p10_residue, p10_kept)}
 ORACLES: dict[str, str] = {}
