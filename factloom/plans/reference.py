@@ -1,0 +1,380 @@
+"""Queries for the document-facts operators: lines, headings, chunks, key/values, ledgers, typing, quality, evidence, rendering, safety.
+
+Each query is named after what it computes; ORACLES holds the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.functions import scalars
+from factloom.io import table
+from factloom.operators.common import guarded_broadcast
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+
+
+LINES = "(SELECT doc_id, CAST(i AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"SELECT doc_id, line_no, trim(line, ' ') AS content FROM {LINES} WHERE length(trim(line, ' ')) > 0")
+def doc_line_blocks(spark, d):
+    """Text to ordered line blocks; blank lines give none."""
+    return _lines(table(spark, d, "documents")).where(F.length(F.trim("line")) > 0).select("doc_id", "line_no", F.trim("line").alias("content"))
+
+
+@query("SELECT substr(md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))), 1, 16) AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_fingerprint(spark, d):
+    """Fingerprints of normalised text shared by several documents."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    flat = F.lower(F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", " ")))
+    return docs.select("doc_id", F.substring(F.md5(F.encode(flat, "utf-8")), 1, 16).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
+def exact_dedup_keep_first(spark, d):
+    """The first document of each text. Texts are grouped by a digest, so no text is shuffled."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', '[EMAIL]', 'g'), '(\\b\\d{17}[0-9Xx]\\b)', '[ID]', 'g'), '(\\b\\d{12,19}\\b)', '[CARD]', 'g').regexp_replace('(\\b1[3-9]\\d{9}\\b)', '[PHONE]', 'g') AS clean FROM documents")
+def pii_redaction(spark, d):
+    """Ordered replacement of personal numbers by their label."""
+    return table(spark, d, "documents").select("doc_id", scalars.redact_pii(F.col("text")).alias("clean"))
+
+
+@query("SELECT block_id, max(length(content) - length(regexp_replace(content, '[\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{ad}]', '', 'g'))) AS invisible, max(regexp_replace(content, '[\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{ad}]', '', 'g')) AS clean FROM text_blocks WHERE content IS NOT NULL GROUP BY block_id")
+def zero_width_count(spark, d):
+    """Invisible characters of each block and the block without them."""
+    c = F.regexp_replace("content", r"[\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}\x{ad}]", "")
+    rows = table(spark, d, "text_blocks").where("content IS NOT NULL").select("block_id", c.alias("clean"), (F.length("content") - F.length(c)).alias("invisible"))
+    return rows.groupBy("block_id").agg(F.max("invisible").cast("bigint").alias("invisible"), F.max("clean").alias("clean"))
+
+
+@query("WITH c AS (SELECT package_id, unnest(string_split(subject_name, '')) AS ch FROM package_files WHERE length(subject_name) > 0), n AS (SELECT package_id, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT package_id, k, sum(k) OVER (PARTITION BY package_id) AS n FROM n) SELECT package_id, round(-sum(k / n * log2(k / n)), 6) + 0 AS entropy FROM t GROUP BY 1")
+def char_entropy(spark, d):
+    """Shannon entropy in bits a character of the subject names of each package."""
+    ch = table(spark, d, "package_files").where(F.length("subject_name") > 0).select("package_id", F.explode(F.split("subject_name", "")).alias("ch"))
+    n = ch.groupBy("package_id", "ch").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("package_id")))
+    p = F.col("k") / F.col("n")
+    return n.groupBy("package_id").agg((F.round(-F.sum(p * F.log2(p)), 6) + 0).alias("entropy"))
+
+
+@query("SELECT role, content, count(DISTINCT doc_id) AS docs, count(DISTINCT page_number) AS pages FROM text_blocks WHERE role IN ('header', 'footer') AND length(content) > 0 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2")
+def repeated_line_noise(spark, d):
+    """Headers and footers that recur over documents."""
+    b = table(spark, d, "text_blocks").where("role IN ('header', 'footer') AND length(content) > 0")
+    return b.groupBy("role", "content").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("page_number").alias("pages")).where("docs >= 2")
+
+
+@query("WITH h AS (SELECT result_id, substr(full_text, 1, 3000) AS t, full_text FROM parse_results), s AS (SELECT result_id, full_text, length(regexp_replace(t, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(length(t), 1) AS share FROM h) SELECT DISTINCT result_id, CASE WHEN length(trim(coalesce(full_text, ''), ' ')) = 0 THEN 'unknown' WHEN share > 0.3 THEN 'zh' WHEN share > 0.05 THEN 'mixed' ELSE 'en' END AS language FROM s")
+def language_share(spark, d):
+    """Language by the share of CJK characters."""
+    return table(spark, d, "parse_results").select("result_id", scalars.language_of(F.col("full_text")).alias("language")).distinct()
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, substr(text, i * 900 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 100) / 900.0) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0)")
+def chunk_windows(spark, d):
+    """Fixed windows of 1,000 characters with 100 of overlap."""
+    n = F.greatest(F.lit(1), F.ceil((F.length("text") - 100) / F.lit(900.0)).cast("int"))
+    c = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return c.select("doc_id", "chunk_no", F.substring(F.col("text"), F.col("chunk_no") * 900 + 1, F.lit(1000)).alias("chunk"))
+
+
+@query("SELECT block_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id, received_at) - 1 AS position FROM text_blocks WHERE doc_id IS NOT NULL")
+def global_reading_order(spark, d):
+    """Total order of a document's blocks over its pages, from 0."""
+    w = Window.partitionBy("doc_id").orderBy("page_number", "reading_order", "block_id", "received_at")
+    return table(spark, d, "text_blocks").where("doc_id IS NOT NULL").select("block_id", "doc_id", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
+
+
+@query("WITH o AS (SELECT doc_id, page_number, reading_order, lag(reading_order) OVER (PARTITION BY doc_id, page_number ORDER BY block_id, received_at) AS p FROM text_blocks WHERE doc_id IS NOT NULL) SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN reading_order < p THEN 1 ELSE 0 END) AS BIGINT) AS inversions FROM o GROUP BY 1")
+def reading_order_score(spark, d):
+    """Inversions of adjacent reading orders per document."""
+    w = Window.partitionBy("doc_id", "page_number").orderBy("block_id", "received_at")
+    rows = table(spark, d, "text_blocks").where("doc_id IS NOT NULL").select("doc_id", "reading_order", F.lag("reading_order").over(w).alias("p"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum((F.col("reading_order") < F.col("p")).cast("bigint")).alias("s")).select("doc_id", "blocks", F.coalesce("s", F.lit(0)).cast("bigint").alias("inversions"))
+
+
+@query("WITH b AS (SELECT block_id, doc_id, level, content, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id, received_at) AS n FROM text_blocks WHERE doc_id IS NOT NULL) SELECT block_id, doc_id, n, last_value(CASE WHEN level = 'h2' THEN block_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_id FROM b")
+def nearest_heading(spark, d):
+    """As-of join in one pass: each block's nearest heading at or before it."""
+    w = Window.partitionBy("doc_id").orderBy("page_number", "reading_order", "block_id", "received_at")
+    b = table(spark, d, "text_blocks").where("doc_id IS NOT NULL").select("block_id", "doc_id", "level", F.row_number().over(w).cast("bigint").alias("n"))
+    return b.select("block_id", "doc_id", "n", F.last(F.when(F.col("level") == "h2", F.col("block_id")), True).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias("heading_id"))
+
+
+@query(f"WITH s AS (SELECT doc_id, line_no, line, (CASE WHEN regexp_matches(line, '^(?:[A-Z][A-Z ]+|[0-9]+\\. [A-Z].{{0,60}}|[IVX]+\\..*)$') THEN 0.5 ELSE 0 END) + (CASE WHEN length(line) <= 60 THEN 0.1 ELSE 0 END) + (CASE WHEN line_no <= 3 THEN 0.1 ELSE 0 END) AS score FROM {LINES} WHERE length(trim(line, ' ')) > 0) SELECT doc_id, line_no, round(score, 2) AS score FROM s WHERE score >= 0.4 AND length(line) <= 120")
+def detect_headings(spark, d):
+    """Heading score of a line by pattern, length and position."""
+    rows = _lines(table(spark, d, "documents")).where(F.length(F.trim("line")) > 0)
+    score = F.when(F.col("line").rlike(r"^(?:[A-Z][A-Z ]+|[0-9]+\. [A-Z].{0,60}|[IVX]+\..*)$"), 0.5).otherwise(0.0) + F.when(F.length("line") <= 60, 0.1).otherwise(0.0) + F.when(F.col("line_no") <= 3, 0.1).otherwise(0.0)
+    return rows.withColumn("score", score).where("score >= 0.4 AND length(line) <= 120").select("doc_id", "line_no", F.round("score", 2).alias("score"))
+
+
+@query(f"SELECT doc_id, key, value, line_no FROM (SELECT doc_id, line_no, trim(regexp_extract(line, '^([^:]{{2,30}}): (.+)$', 1), ' ') AS key, trim(regexp_extract(line, '^([^:]{{2,30}}): (.+)$', 2), ' ') AS value FROM {LINES} WHERE regexp_matches(line, '^([^:]{{2,30}}): (.+)$')) QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) = 1")
+def key_value_recovery(spark, d):
+    """`label: value` lines; the first of a key wins."""
+    form = r"^([^:]{2,30}): (.+)$"
+    rows = _lines(table(spark, d, "documents")).where(F.col("line").rlike(form)).select("doc_id", "line_no", F.trim(F.regexp_extract("line", form, 1)).alias("key"), F.trim(F.regexp_extract("line", form, 2)).alias("value"))
+    return rows.groupBy("doc_id", "key").agg(F.min(F.struct("line_no", "value")).alias("b")).select("doc_id", "key", "b.value", "b.line_no")
+
+
+@query("SELECT doc_id, field_key, arg_max(value, (ingested_at, cell_id)) AS value FROM audit_cells WHERE doc_id IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2")
+def all_key_values(spark, d):
+    """Key/values of a document; the last delivery of a key wins."""
+    c = table(spark, d, "audit_cells").where("doc_id IS NOT NULL AND value IS NOT NULL")
+    return c.groupBy("doc_id", "field_key").agg(F.max_by("value", F.struct("ingested_at", "cell_id")).alias("value"))
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS balance FROM orders")
+def running_balance(spark, d):
+    """Running balance of each account's ledger."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("balance"))
+
+
+@query("WITH l AS (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) SELECT o_custkey, count(*) AS entries, CAST(sum(CASE WHEN o_totalprice - p < -0.01 THEN 1 ELSE 0 END) AS BIGINT) AS breaks FROM l GROUP BY 1")
+def running_balance_breaks(spark, d):
+    """Entries of each account's chain that fall below the one before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") - F.lag("o_totalprice").over(w)).alias("delta"))
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("entries"), F.count_if(F.col("delta") < -0.01).alias("breaks"))
+
+
+@query("SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'income' END AS direction, count(*) AS entries, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 2) AS mean, max(l_extendedprice) AS largest, min(l_shipdate) AS period_from, max(l_shipdate) AS period_to FROM lineitem GROUP BY 1, 2")
+def ledger_summary(spark, d):
+    """Totals, mean, largest entry and period per account and direction."""
+    li = table(spark, d, "lineitem")
+    side = F.when(F.col("l_returnflag") == "R", "expense").otherwise("income").alias("direction")
+    p = "l_extendedprice"
+    return li.groupBy("l_suppkey", side).agg(F.count("*").alias("entries"), F.round(F.sum(p), 2).alias("total"), F.round(F.avg(p), 2).alias("mean"), F.max(p).alias("largest"), F.min("l_shipdate").alias("period_from"), F.max("l_shipdate").alias("period_to"))
+
+
+@query("SELECT l_orderkey, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2) AS debit, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE 0 END), 2) AS credit FROM lineitem GROUP BY 1")
+def debit_credit_split(spark, d):
+    """Amounts to debit and credit columns."""
+    p, r = F.col("l_extendedprice"), F.col("l_returnflag") == "R"
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.when(r, p).otherwise(0.0)), 2).alias("debit"), F.round(F.sum(F.when(~r, p).otherwise(0.0)), 2).alias("credit"))
+
+
+@query("WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS t FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS lines, abs(o_totalprice - coalesce(t, 0)) <= 1 AS totals_agree FROM orders LEFT JOIN l ON o_orderkey = l_orderkey")
+def reconciliation_gates(spark, d):
+    """Order totals held against their lines, pre-aggregated before the join."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")).alias("t"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(l, "o_orderkey", "left")
+    return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"), (F.abs(F.col("o_totalprice") - F.coalesce("t", F.lit(0.0))) <= 1).alias("totals_agree"))
+
+
+KEYWORDS = [("tenancy", "tenant|landlord|lease"), ("insurance", "insurer|policy|premium"), ("carriage", "carrier|cargo|vessel"), ("planning", "planning authority|excavation|boundary"), ("insolvency", "liquidator|creditor|bankruptcy")]
+_KW = ", ".join(f"('{c}', '{w}')" for c, ws in KEYWORDS for w in ws.split("|"))
+
+
+@query(f"WITH k(category, word) AS (VALUES {_KW}), h AS (SELECT doc_id, category, count(*) AS hits FROM documents, k WHERE contains(lower(text), word) GROUP BY 1, 2) SELECT doc_id, category, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, category) = 1")
+def keyword_classifier(spark, d):
+    """The category with the most keywords in a document; ties fall to the first by name. Keywords are literals, so nothing is joined."""
+    text = F.lower("text")
+    hits = F.array(*[F.struct((-sum(text.contains(w).cast("int") for w in ws.split("|"))).alias("m"), F.lit(c).alias("category")) for c, ws in KEYWORDS])
+    best = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_min(hits).alias("b"))
+    return best.where("b.m < 0").select("doc_id", "b.category", (-F.col("b.m")).cast("bigint").alias("hits"))
+
+
+@query(f"WITH k(category, word) AS (VALUES {_KW}), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) SELECT word, count(doc_id) AS docs, round(ln((max(n) + 1) / (count(doc_id) + 1.0)), 6) AS uniqueness FROM k CROSS JOIN n LEFT JOIN documents ON contains(lower(text), word) GROUP BY word")
+def keyword_uniqueness(spark, d):
+    """Inverse document frequency of the keywords, counted in one pass over the documents."""
+    words = [w for _, ws in KEYWORDS for w in ws.split("|")]
+    counts = table(spark, d, "documents").where("text IS NOT NULL").agg(F.count("*").alias("n"), *[F.count_if(F.lower("text").contains(w)).alias(f"c{i}") for i, w in enumerate(words)])
+    one = F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"c{i}").alias("docs")) for i, w in enumerate(words)]))
+    return counts.select("n", one).select("word", "docs", F.round(F.log((F.col("n") + 1) / (F.col("docs") + 1.0)), 6).alias("uniqueness"))
+
+
+_TYPE = [("datetime", r"^\d{4}-\d{2}-\d{2}[T ]"), ("date", r"^\d{4}-\d{2}-\d{2}$"), ("integer", r"^[+-]?\d+$"), ("decimal", r"^[+-]?\d+[.,]\d+$"), ("percentage", r"^[\d.,]+ ?%$")]
+_TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(value, '{p}') THEN '{t}'" for t, p in _TYPE) + " ELSE 'text' END"
+
+
+@query(f"WITH v AS (SELECT field_key, {_TYPE_SQL} AS t, count(*) AS n FROM audit_cells WHERE value IS NOT NULL GROUP BY 1, 2), s AS (SELECT field_key, t, n / sum(n) OVER (PARTITION BY field_key) AS share FROM v) SELECT field_key, CASE WHEN share >= 0.6 THEN t ELSE 'text' END AS column_type, round(share, 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY field_key ORDER BY share DESC, t) = 1")
+def type_vote(spark, d):
+    """Column type by the vote of its values; below 60 % it is text."""
+    v = F.col("value")
+    t = F.lit("text")
+    for name, p in reversed(_TYPE):
+        t = F.when(v.rlike(p), name).otherwise(t)
+    n = table(spark, d, "audit_cells").where("value IS NOT NULL").groupBy("field_key", t.alias("t")).agg(F.count("*").alias("n"))
+    share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("field_key")))
+    best = share.groupBy("field_key").agg(F.min(F.struct((-F.col("share")).alias("m"), "t")).alias("b"))
+    return best.select("field_key", F.when(-F.col("b.m") >= 0.6, F.col("b.t")).otherwise("text").alias("column_type"), F.round(-F.col("b.m"), 6).alias("share"))
+
+
+@query("SELECT event_type, user_id % 5 AS bucket, count(*) AS n, round(avg(CASE WHEN value > 0 THEN value END), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 5), ())")
+def bucket_metrics(spark, d):
+    """Metrics by single dimensions and in total; zero scores don't count for means."""
+    e = table(spark, d, "events").withColumn("bucket", F.expr("user_id % 5"))
+    g = e.groupingSets([["event_type"], ["bucket"], []], "event_type", "bucket")
+    return g.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 0, F.col("value"))), 6).alias("mean"))
+
+
+@query("WITH f AS (SELECT DISTINCT field_id, name, needs_review, confidence FROM trust_fields) SELECT name, count(*) AS fields, count_if(needs_review) AS flagged, count_if(confidence < 0.6) AS low, count_if(needs_review AND confidence < 0.6) AS both, round(count_if(needs_review AND confidence < 0.6) / nullif(count_if(confidence < 0.6), 0), 6) AS recall FROM f GROUP BY 1")
+def review_recall(spark, d):
+    """How many of the fields of low confidence are marked for review."""
+    f = table(spark, d, "trust_fields").select("field_id", "name", "needs_review", "confidence").distinct()
+    low, both = F.count_if(F.col("confidence") < 0.6), F.count_if(F.col("needs_review") & (F.col("confidence") < 0.6))
+    return f.groupBy("name").agg(F.count("*").alias("fields"), F.count_if("needs_review").alias("flagged"), low.alias("low"), both.alias("both"), F.round(both / F.nullif(low, F.lit(0)), 6).alias("recall"))
+
+
+@query("SELECT package_id, count(DISTINCT file_id) AS files, count(DISTINCT subject_name) AS subjects, count(DISTINCT document_type) AS types, CASE WHEN count(DISTINCT subject_name) > 1 THEN 'warning' ELSE 'pass' END AS status FROM package_files GROUP BY 1")
+def package_consistency(spark, d):
+    """Whether the files of a package agree on their subject."""
+    p = table(spark, d, "package_files").groupBy("package_id").agg(F.count_distinct("file_id").alias("files"), F.count_distinct("subject_name").alias("subjects"), F.count_distinct("document_type").alias("types"))
+    return p.withColumn("status", F.when(F.col("subjects") > 1, "warning").otherwise("pass"))
+
+
+@query("WITH a AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1")
+def graph_diff(spark, d):
+    """Full outer comparison of two states of the accounts."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    a, b = c.where("id % 3 <> 0").withColumnRenamed("v", "va").withColumn("ia", F.lit(True)), c.where("id % 5 <> 0").withColumn("vb", F.when(F.expr("id % 7 = 0"), F.col("v") + 1).otherwise(F.col("v"))).drop("v").withColumn("ib", F.lit(True))
+    change = F.when(F.col("ia").isNull(), "added").when(F.col("ib").isNull(), "removed").when(~F.col("va").eqNullSafe(F.col("vb")), "changed").otherwise("same")
+    return a.join(b, "id", "full").groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+
+
+@query("UNPIVOT (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders) ON o_custkey, o_orderstatus, o_orderpriority INTO NAME field VALUE value")
+def audit_unpivot(spark, d):
+    """Long audit rows (record, field, value) of a wide table."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", "o_orderpriority")
+    return o.unpivot("o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"], "field", "value").where("value IS NOT NULL")
+
+
+@query("WITH c AS (SELECT DISTINCT cell_id, value, value_type FROM audit_cells) SELECT cell_id, CASE WHEN value_type IN ('string', 'text') AND regexp_matches(value, '^[=+\\-@]') THEN '''' || value ELSE value END AS safe FROM c")
+def csv_safe_cells(spark, d):
+    """Spreadsheet-formula escaping of textual cells."""
+    c = table(spark, d, "audit_cells").select("cell_id", "value", "value_type").distinct()
+    return c.select("cell_id", F.when(F.col("value_type").isin("string", "text"), scalars.csv_safe(F.col("value"))).otherwise(F.col("value")).alias("safe"))
+
+
+@query("SELECT dataset_id, count(DISTINCT record_id) AS records, count(DISTINCT cell_id) AS cells, count(DISTINCT field_key) AS fields, count(DISTINCT CASE WHEN value IS NULL OR value = '' THEN cell_id END) AS blank FROM audit_cells GROUP BY 1")
+def dataset_completeness(spark, d):
+    """Records, cells, fields and blanks of each dataset, in one aggregation."""
+    blank = F.when(F.col("value").isNull() | (F.col("value") == ""), F.col("cell_id"))
+    return table(spark, d, "audit_cells").groupBy("dataset_id").agg(F.count_distinct("record_id").alias("records"), F.count_distinct("cell_id").alias("cells"), F.count_distinct("field_key").alias("fields"), F.count_distinct(blank).alias("blank"))
+
+
+@query("SELECT dataset_id, field_key, mode(value_type) IS NOT NULL AS typed, count_if(value IS NULL) > 0 AS nullable, count_if(evidence_ref IS NOT NULL) AS evidenced, min(page_start) AS page_from, max(page_end) AS page_to FROM audit_cells GROUP BY 1, 2")
+def dataset_columns(spark, d):
+    """Columns of a dataset: whether typed, nullable, evidenced, and their pages."""
+    return table(spark, d, "audit_cells").groupBy("dataset_id", "field_key").agg((F.count("value_type") > 0).alias("typed"), (F.count_if(F.col("value").isNull()) > 0).alias("nullable"), F.count("evidence_ref").alias("evidenced"), F.min("page_start").alias("page_from"), F.max("page_end").alias("page_to"))
+
+
+@query("SELECT DISTINCT dataset_id, record_id, format('{}:r{:06d}', dataset_id, dense_rank() OVER (PARTITION BY dataset_id ORDER BY record_id)) AS canonical_id FROM audit_cells")
+def canonical_record_id(spark, d):
+    """Canonical ids numbered within each dataset."""
+    r = table(spark, d, "audit_cells").select("dataset_id", "record_id").distinct()
+    n = F.row_number().over(Window.partitionBy("dataset_id").orderBy("record_id"))
+    return r.select("dataset_id", "record_id", F.format_string("%s:r%06d", "dataset_id", n).alias("canonical_id"))
+
+
+@query("SELECT doc_id, string_agg(CASE WHEN level = 'h2' THEN '## ' || content ELSE content END, chr(10) || chr(10) ORDER BY page_number, reading_order, block_id) AS markdown FROM (SELECT DISTINCT block_id, doc_id, page_number, reading_order, level, content FROM text_blocks) WHERE doc_id IS NOT NULL AND length(content) > 0 GROUP BY 1")
+def render_markdown(spark, d):
+    """Blocks of a document as Markdown in reading order."""
+    b = table(spark, d, "text_blocks").select("block_id", "doc_id", "page_number", "reading_order", "level", "content").distinct().where("doc_id IS NOT NULL AND length(content) > 0")
+    line = F.when(F.col("level") == "h2", F.concat(F.lit("## "), "content")).otherwise(F.col("content"))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "block_id", line.alias("t"))))
+    return b.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+@query("SELECT DISTINCT file_id, CASE WHEN length(account_number) <= 4 THEN repeat('*', length(account_number)) ELSE repeat('*', length(account_number) - 4) || substr(account_number, -4) END AS masked, substr(sha256(account_number), 1, 16) AS hashed FROM package_files WHERE account_number IS NOT NULL")
+def mask_and_hash(spark, d):
+    """Masked and hashed account numbers."""
+    a = F.col("account_number")
+    return table(spark, d, "package_files").where(a.isNotNull()).select("file_id", scalars.mask_value(a).alias("masked"), scalars.hash_value(a).alias("hashed")).distinct()
+
+
+@query("SELECT DISTINCT block_id, doc_id, regexp_matches(lower(content), 'e-mail|email|@') AS contact, regexp_matches(content, '[0-9]{9,}') AS number, regexp_matches(content, '\\*{2,}|REDACTED') AS masked FROM text_blocks WHERE content IS NOT NULL")
+def classify_redaction(spark, d):
+    """What kinds of sensitive or masked parts a block shows."""
+    c = F.col("content")
+    return table(spark, d, "text_blocks").where(c.isNotNull()).select("block_id", "doc_id", F.lower(c).rlike("e-mail|email|@").alias("contact"), c.rlike("[0-9]{9,}").alias("number"), c.rlike(r"\*{2,}|REDACTED").alias("masked")).distinct()
+
+
+@query("SELECT doc_id, round(list_unique(string_split(substr(text, 1, 3000), '')) / 1.0, 1) AS distinct_chars, length(text) = n_chars AS length_ok FROM documents WHERE length(text) > 0")
+def char_preservation(spark, d):
+    """Distinct characters of a text's head and whether the stated length holds."""
+    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.size(F.array_distinct(F.split(F.substring("text", 1, 3000), ""))).cast("double").alias("distinct_chars"), (F.length("text") == F.col("n_chars")).alias("length_ok"))
+
+
+@query("SELECT DISTINCT result_id, page_count, len(pages) AS pages, count_content AS filled, CASE WHEN page_count <= 1 THEN 1.0 ELSE round(count_content / page_count, 6) END AS coverage FROM (SELECT result_id, page_count, pages, len([p FOR p IN pages IF length(p.page_text) > 0]) AS count_content FROM parse_results WHERE pages IS NOT NULL AND page_count > 0)")
+def page_coverage(spark, d):
+    """Share of pages with content; 1 for up to one page."""
+    r = table(spark, d, "parse_results").where("pages IS NOT NULL AND page_count > 0").select("result_id", "page_count", F.size("pages").cast("bigint").alias("pages"), F.size(F.filter("pages", lambda p: F.length(p["page_text"]) > 0)).cast("bigint").alias("filled"))
+    return r.withColumn("coverage", F.when(F.col("page_count") <= 1, 1.0).otherwise(F.round(F.col("filled") / F.col("page_count"), 6))).distinct()
+
+
+@query("WITH c AS (SELECT DISTINCT cell_id, record_id, field_key, page_start, bbox FROM audit_cells WHERE len(bbox) = 4) SELECT page_start AS page, count(*) AS boxes, round(min(bbox[1]), 3) AS x0, round(min(bbox[2]), 3) AS y0, round(max(bbox[3]), 3) AS x1, round(max(bbox[4]), 3) AS y1 FROM c WHERE bbox[3] > bbox[1] AND bbox[4] > bbox[2] GROUP BY 1")
+def bounding_union(spark, d):
+    """Bounding union of the boxes of positive area on each page."""
+    c = table(spark, d, "audit_cells").where("size(bbox) = 4").select("cell_id", "record_id", "field_key", "page_start", "bbox").distinct().where("bbox[2] > bbox[0] AND bbox[3] > bbox[1]")
+    return c.groupBy(F.col("page_start").alias("page")).agg(F.count("*").alias("boxes"), *[F.round(f(F.expr(f"bbox[{i}]")), 3).alias(n) for i, (n, f) in enumerate((("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)))])
+
+
+@query("SELECT user_id, event_id, count_if(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) AS gap FROM events)")
+def event_sessions(spark, d):
+    """Sessions of each user, parted by more than 30 minutes: gaps and islands."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 30 MINUTES"), F.lit(True)).alias("gap"))
+    return e.select("user_id", "event_id", F.sum(F.col("gap").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session_no"))
+
+
+@query("SELECT event_type, CASE WHEN count_if(value > 0) = 0 THEN 'failed' WHEN count_if(value <= 0) > 0 THEN 'partial' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY 1")
+def outcome_ledger(spark, d):
+    """Outcome by precedence: nothing succeeded, some failed, all succeeded."""
+    ok, bad = F.count_if(F.col("value") > 0), F.count_if(F.col("value") <= 0)
+    return table(spark, d, "events").groupBy("event_type").agg(F.when(ok == 0, "failed").when(bad > 0, "partial").otherwise("success").alias("status"), F.count("*").alias("n"))
+
+
+@query("SELECT n_name, r_name, count(c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN (SELECT min(s_suppkey) AS s_suppkey, s_nationkey FROM supplier GROUP BY 2) ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def registry_lookup(spark, d):
+    """Dictionary lookups as joins; side tables are broadcast only after their size is checked."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.lit(1).cast("bigint").alias("suppliers"))
+    j = n.join(guarded_broadcast(r), n["n_regionkey"] == r["r_regionkey"]).join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    return j.select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("WITH f AS (SELECT DISTINCT field_id, artifact_key, name, confidence, source_ref, bbox, page FROM trust_fields) SELECT artifact_key, count(*) AS fields, count_if(source_ref IS NOT NULL OR bbox IS NOT NULL OR page IS NOT NULL) AS evidenced, round(count_if(source_ref IS NOT NULL OR bbox IS NOT NULL OR page IS NOT NULL) / count(*), 4) AS coverage, CASE WHEN min(confidence) < 0.5 THEN 'reject' WHEN min(confidence) < 0.85 THEN 'needs_review' ELSE 'auto_ingest' END AS decision FROM f GROUP BY 1")
+def evidence_coverage(spark, d):
+    """Evidence coverage and the ordered quality decision of each artifact."""
+    f = table(spark, d, "trust_fields").select("field_id", "artifact_key", "name", "confidence", "source_ref", "bbox", "page").distinct()
+    has = F.count_if(F.expr("source_ref IS NOT NULL OR bbox IS NOT NULL OR page IS NOT NULL"))
+    low = F.min("confidence")
+    return f.groupBy("artifact_key").agg(F.count("*").alias("fields"), has.alias("evidenced"), F.round(has / F.count("*"), 4).alias("coverage"), F.when(low < 0.5, "reject").when(low < 0.85, "needs_review").otherwise("auto_ingest").alias("decision"))
+
+
+@query("SELECT review_reason, mode_name, n FROM (SELECT review_reason, name AS mode_name, count(DISTINCT field_id) AS n FROM trust_fields WHERE needs_review GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY review_reason ORDER BY n DESC, mode_name) = 1")
+def mutation_patterns(spark, d):
+    """The field most often behind each reason of review: top-1 by count, then name."""
+    n = table(spark, d, "trust_fields").where("needs_review").groupBy("review_reason", F.col("name").alias("mode_name")).agg(F.count_distinct("field_id").alias("n"))
+    best = n.groupBy("review_reason").agg(F.min(F.struct((-F.col("n")).alias("m"), "mode_name")).alias("b"))
+    return best.select("review_reason", "b.mode_name", (-F.col("b.m")).alias("n"))
+
+
+@query("SELECT DISTINCT cell_id, CASE WHEN length(regexp_replace(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) > 0 THEN regexp_replace(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') ELSE substr(sha1(value), 1, 10) END AS slug FROM audit_cells WHERE field_key = 'party_name' AND value IS NOT NULL")
+def party_slugs(spark, d):
+    """ASCII slugs of party names."""
+    return table(spark, d, "audit_cells").where("field_key = 'party_name' AND value IS NOT NULL").select("cell_id", scalars.slug(F.col("value")).alias("slug")).distinct()

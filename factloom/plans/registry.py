@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import general
+from factloom.plans import general, oracles, reference
 
-QUERIES = {**general.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+ORACLES = {**oracles.ORACLES, **reference.ORACLES}

@@ -18,7 +18,7 @@ SETTINGS = {
 
 def local_session(cpus: int | str = "*", app: str = "factloom", **extra: str) -> SparkSession:
     """A local session for tests and benches."""
-    conf = {"spark.master": f"local[{cpus}]", "spark.app.name": app, "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", **SETTINGS, **extra}
+    conf = {"spark.master": f"local[{cpus}]", "spark.app.name": app, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", **SETTINGS, **extra}
     return SparkSession.builder.config(map=conf).getOrCreate()
 
 
