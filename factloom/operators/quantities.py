@@ -92,9 +92,11 @@ def _several(text: Column) -> Column:
 def to_common_unit(df: DataFrame, unit_table: DataFrame, *, kind: str, value: str, unit: str, mark: str | None = None, dollar: str | None = None) -> DataFrame:
     """The rows of df with `quantity` (double in the kind's common unit, or null). `mark` is the source's decimal mark, `dollar` the
     currency that a bare $ means and that an amount without any unit is in."""
-    own, t = list(df.columns), F.trim(F.col(value))
-    m = F.col(mark) if mark else F.lit(None).cast("string")
-    home = F.lower(F.col(dollar)) if dollar else F.lit(None).cast("string")
+    # the caller's columns travel in one struct, so none of them can clash with those made here
+    nothing = F.lit(None).cast("string")
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "quantity"]).alias("_own")
+    df = df.select(kept, F.col(kind).alias("_k"), F.col(value).alias("_v"), F.col(unit).alias("_u"), (F.col(mark) if mark else nothing).alias("_m"), F.lower(F.col(dollar) if dollar else nothing).alias("_home"))
+    kind, unit, t, m, home = "_k", "_u", F.trim("_v"), F.col("_m"), F.col("_home")
     figure = F.regexp_extract(t, _FIGURE, 0)
     left = F.regexp_replace(t, r"\(([^)]*\d[^)]*)\)", "$1")  # parentheses that hold the figure
     said = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(left, rf"^(\D*){_FIGURE}", "$1 "), r"(?:^|\s)[-−+](?=\s|\D|$)", " "), r"[     ]+", " "))
@@ -107,7 +109,7 @@ def to_common_unit(df: DataFrame, unit_table: DataFrame, *, kind: str, value: st
     df = df.join(guarded_broadcast(side), (F.col(kind) == F.col("_kind")) & (F.col("_alias") == F.col("_name")), "left")
     plain = F.when(F.col("_minus"), -F.col("_n")).otherwise(F.col("_n")) * F.col("_factor") + F.col("_offset")
     total = F.when(F.col("_minus"), -F.col("_sum")).otherwise(F.col("_sum"))
-    return df.select(*own, F.coalesce(total, plain).alias("quantity"))
+    return df.select("_own.*", F.coalesce(total, plain).alias("quantity"))
 
 
 def same_quantity(df: DataFrame, key: str, group: list[str], *, kind: str, quantity: str = "quantity", relative: float = 0.002, degrees: float = 0.1) -> DataFrame:
