@@ -140,9 +140,9 @@ def table_of(df: DataFrame, text: str) -> dict[str, str]:
 
 
 def consistent(df: DataFrame, text: str, table: dict[str, str], to: str = "clean") -> DataFrame:
-    """The rows of df with `to`, the text in its consistent form."""
+    """The rows of df with `to`, the text in its consistent form; a column of that name is replaced."""
     common.by_value(sys.modules[__name__])
-    make = Rewriter
+    make, df = Rewriter, df.drop(to)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{to}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -58,9 +58,9 @@ def items(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def replaced(df: DataFrame, text: str) -> DataFrame:
-    """The rows of df with `clean`, the text with [KIND] in place of each item, and `n_items`."""
+    """The rows of df with `clean`, the text with [KIND] in place of each item, and `n_items`; columns of these names are replaced."""
     common.by_value(pii_model, pii_rules, __import__("sys").modules[__name__])
-    params, scan = weights(), found
+    params, scan, df = weights(), found, df.drop("clean", "n_items")
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", clean string, n_items int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
