@@ -80,25 +80,26 @@ def _plan(sizes: DataFrame, targets: DataFrame, source: str, size: str) -> DataF
     return lengths.join(per, source).groupBy(source).applyInPandas(run, f"`{source}` string, `{size}` bigint, n bigint, whole bigint, extra bigint")
 
 
-def _usable(sizes: DataFrame, source: str, size: str) -> DataFrame:
-    return materialized(sizes.where(F.col(source).isNotNull() & (F.col(size) > 0)))
+def _usable(sizes: DataFrame, key: str, source: str, size: str) -> DataFrame:
+    """(_key, _source, _size) of what can be mixed; the caller's names can't clash with those made here."""
+    return materialized(sizes.where(F.col(source).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("bigint").alias("_size")))
 
 
 def mixed(sizes: DataFrame, targets: DataFrame, *, key: str, source: str, size: str, seed: int = 7) -> DataFrame:
     """(key, source, size, repeats): the chosen documents; repeats is never above the source's allowed number."""
-    sizes = _usable(sizes, source, size)
-    plan = _plan(sizes, targets, source, size)
-    order = Window.partitionBy(source, size).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    rows = sizes.withColumn("_at", F.row_number().over(order)).join(plan, [source, size])
+    usable = _usable(sizes, key, source, size)
+    plan = _plan(usable, targets, "_source", "_size")
+    order = Window.partitionBy("_source", "_size").orderBy(F.xxhash64(F.lit(seed), F.col("_key")), "_key")
+    rows = usable.withColumn("_at", F.row_number().over(order)).join(plan, ["_source", "_size"])
     rows = rows.withColumn("repeats", (F.col("whole") + (F.col("_at") <= F.col("extra")).cast("int")).cast("int"))
-    return rows.where("repeats > 0").select(key, source, size, "repeats")
+    return rows.where("repeats > 0").select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias(size), "repeats")
 
 
 def shares(sizes: DataFrame, targets: DataFrame, *, key: str, source: str, size: str) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats): what the mixture holds of each source."""
-    plan = _plan(_usable(sizes, source, size), targets, source, size)
-    per = plan.groupBy(source).agg(
-        F.sum(F.col(size) * (F.col("n") * F.col("whole") + F.col("extra"))).alias("tokens"),
+    plan = _plan(_usable(sizes, key, source, size), targets, "_source", "_size")
+    per = plan.groupBy(F.col("_source").alias(source)).agg(
+        F.sum(F.col("_size") * (F.col("n") * F.col("whole") + F.col("extra"))).alias("tokens"),
         F.sum(F.when(F.col("whole") > 0, F.col("n")).otherwise(F.col("extra"))).alias("documents"),
         F.max(F.col("whole") + (F.col("extra") > 0).cast("int")).alias("most_repeats"),
     )

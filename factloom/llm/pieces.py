@@ -38,7 +38,8 @@ def sentence_ends(text: str) -> list[int]:
             if m.group()[0] == "." and len(m.group().rstrip("\"'”’»›)]}）」』】》")) == 1:
                 before, after = body[max(0, m.start() - 24) : m.start() + 1], body[end : end + 3].lstrip()
                 a = _ABBREVIATION.search(before)
-                if end < len(body.rstrip()) and ((a and a.group(1).lower() in _KNOWN) or _INITIAL.search(before) or (after[:1].islower())):
+                short = m.group() == "." and ((a and a.group(1).lower() in _KNOWN) or _INITIAL.search(before))
+                if end < len(body.rstrip()) and (short or after[:1].islower()):
                     continue
             out.append(line_at + end)
         line_at += len(line)
