@@ -37,7 +37,7 @@ CANDIDATES = (
     "America/Los_Angeles", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Australia/Perth", "Pacific/Auckland",
 )
 
-_CLOCK = r"(\d{1,2})[:hH](\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([AaPp]\.?[Mm]\.?)?\s*(?:Uhr|Uhrzeit|h)?"
+_CLOCK = r"(\d{1,2})[:hH](\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([AaPp]\.?[Mm]\.?(?![A-Za-z]))?\s*(?:Uhr|Uhrzeit|h)?"
 _ZONE = r"\s*,?\s*([Zz]|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]+/[A-Za-z_/+-]+|[A-Z]{2,5})?\s*"
 _BETWEEN = r"(?:T|,?\s*(?:à|at|um|a las)?\s*)"
 _WEEKDAY = r"(?:\p{L}{2,10}\.?,\s*)?"

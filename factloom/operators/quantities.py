@@ -83,7 +83,8 @@ def _several(text: Column) -> Column:
         total(rf"^-?{n}:(\d{{1,2}}):{n}$", 3600, 60, 1),
         total(rf"^-?(?:p(?:(\d+)d)?t)(?:{n}h)?(?:{n}m)?(?:{n}s)?$", 86400, 3600, 60, 1),
         total(rf"^-?{n}\s*h(?:rs?|ours?)?\s*{n}\s*m(?:in)?(?:utes?)?\.?(?:\s*{n}\s*s(?:ec)?(?:onds?)?\.?)?$", 3600, 60, 1),
-        total(rf"^-?{n}\s*(?:ft\.?|feet|foot|')\s*{n}\s*(?:in\.?|inch|inches|\")$", 0.3048, 0.0254),
+        total(rf"^-?{n}\s*(?:ft\.?|feet|foot)\s*{n}\s*(?:in\.?|inch|inches)$", 0.3048, 0.0254),
+        total(rf"^-?{n}\s*'\s*{n}\s*\"$", 0.3048, 0.0254),
         total(rf"^-?{n}\s*(?:st|stone)\s*{n}\s*(?:lb|lbs|pounds)$", 6.35029318, 0.45359237),
         total(rf"^-?{n}\s*(?:lb|lbs|pounds)\s*{n}\s*(?:oz|ounces)$", 0.45359237, 0.028349523125),
     )

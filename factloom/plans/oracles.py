@@ -1 +1,93 @@
-ORACLES = {}
+"""SQL for the general training-data queries, for DuckDB."""
+
+from __future__ import annotations
+
+from factloom.operators import instants, quantities
+
+
+def _opened(x: str) -> str:
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN (CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END) ELSE {x} END)"
+
+
+def _elements(x: str, *marks: str) -> str:
+    one = " OR ".join(f"({x} ->> '$.{m}') IS NOT NULL" for m in marks)
+    return f"unnest(CASE json_type({x}) WHEN 'ARRAY' THEN [{{'k': NULL::VARCHAR, 'v': e}} FOR e IN json_extract({x}, '$[*]')] WHEN 'OBJECT' THEN CASE WHEN {one} THEN [{{'k': NULL::VARCHAR, 'v': {x}}}] ELSE [{{'k': q, 'v': json_extract({x}, '$.\"' || q || '\"')}} FOR q IN json_keys({x})] END ELSE [] END)"
+
+
+P2 = f"""WITH RECURSIVE j AS (SELECT artifact_id, payload::JSON AS p, coalesce(payload::JSON ->> '$.mirror.document.document_id', document_id) AS doc FROM mirror_artifacts WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+a AS (SELECT artifact_id, doc, {_opened("(p -> '$.mirror.pages')")} AS pages, {_opened("(p -> '$.mirror.graph.edges')")} AS edges, {_opened("(p -> '$.datasets')")} AS sets FROM j),
+pg AS (SELECT artifact_id, doc, coalesce(e.v ->> '$.page_id', e.k) AS id, {_opened("(e.v -> '$.blocks')")} AS x FROM (SELECT artifact_id, doc, {_elements("pages", "page_id", "page_number", "blocks")} AS e FROM a)),
+bl AS (SELECT artifact_id, id AS parent, coalesce(e.v ->> '$.id', e.k) AS id, {_opened("(e.v -> '$.children')")} AS x FROM (SELECT artifact_id, id, {_elements("x", "id", "type", "children")} AS e FROM pg)
+  UNION ALL SELECT artifact_id, id, coalesce(e.v ->> '$.id', e.k), {_opened("(e.v -> '$.children')")} FROM (SELECT artifact_id, id, {_elements("x", "id", "type", "children")} AS e FROM bl)),
+ds AS (SELECT artifact_id, doc, coalesce(e.v ->> '$.id', e.k) AS id, {_opened("(e.v -> '$.rows')")} AS x FROM (SELECT artifact_id, doc, {_elements("sets", "rows", "columns", "name")} AS e FROM a)),
+rw AS (SELECT artifact_id, id AS parent, coalesce(e.v ->> '$.record_id', e.k) AS id, {_opened("(e.v -> '$.items')")} AS x FROM (SELECT artifact_id, id, {_elements("x", "record_id", "raw", "normalized", "items")} AS e FROM ds)),
+it AS (SELECT artifact_id, id AS parent, coalesce(e.v ->> '$.id', e.k) AS id FROM (SELECT artifact_id, id, {_elements("x", "id", "note")} AS e FROM rw)),
+ed AS (SELECT artifact_id, e.v AS v FROM (SELECT artifact_id, {_elements("edges", "from", "to")} AS e FROM a)),
+l AS (SELECT artifact_id, 'page' AS link_kind, doc AS parent_id, id AS child_id FROM pg UNION SELECT artifact_id, 'block', parent, id FROM bl UNION SELECT artifact_id, 'contains', v ->> '$.from', v ->> '$.to' FROM ed WHERE v ->> '$.type' = 'contains'
+  UNION SELECT artifact_id, 'dataset', doc, id FROM ds UNION SELECT artifact_id, 'row', parent, id FROM rw UNION SELECT artifact_id, 'item', parent, id FROM it)
+SELECT * FROM l WHERE parent_id IS NOT NULL AND child_id IS NOT NULL"""
+
+# times: texts are brought to one order of words, then read by formats
+_MONTHS = ", ".join(f"('{w}', '{m}')" for m, words in {1: "januar janvier january", 2: "februar février february", 3: "märz mars march", 4: "april avril", 5: "mai may", 6: "juni juin june", 7: "juli juillet july", 8: "august août", 9: "september septembre", 10: "oktober octobre october", 11: "november novembre", 12: "dezember décembre december"}.items() for w in words.split())
+_ABBR = ", ".join(f"('{a}', {m})" for a, m in instants.ABBREVIATIONS.items())
+_DAY_FIRST, _MONTH_FIRST = ["%d/%m/%Y", "%d.%m.%Y", "%d-%m-%Y"], ["%m/%d/%Y"]
+_SHORT = {k: [f.replace("%Y", "%y") for f in v] for k, v in (("DMY", _DAY_FIRST), ("MDY", _MONTH_FIRST), ("YMD", ["%Y/%m/%d", "%Y.%m.%d", "%Y-%m-%d"]))}
+_FIXED = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d"]
+_CLOCKS = [" %H:%M:%S", " %H:%M", " %I:%M:%S %p", " %I:%M %p", " %H%M%S"]
+
+
+def _at(zone: str) -> str:
+    """Seconds of the wall time w in a zone: the earlier of two, null where the zone skips it."""
+    return f"(CASE WHEN timezone({zone}, timezone({zone}, w) - INTERVAL 1 HOUR) = w THEN epoch(timezone({zone}, w))::BIGINT - 3600 WHEN timezone({zone}, timezone({zone}, w)) = w THEN epoch(timezone({zone}, w))::BIGINT END)"
+
+
+def _formats(dates: list[str]) -> str:
+    return "[" + ", ".join(f"'{a}{b}'" for a in dates for b in _CLOCKS) + "]"
+
+
+P3_ROWS = f"""m(w, n) AS (VALUES {_MONTHS}), z(abbr, minutes) AS (VALUES {_ABBR}),
+c AS (SELECT DISTINCT cell_id, record_id, field_key, feed_id, trim(value, ' ') AS value FROM audit_cells WHERE field_key LIKE '%\\_at' ESCAPE '\\'),
+t0 AS (SELECT c.*, tz_name, date_order, regexp_extract(value, '(?i)(?:[^0-9a-z]|[0-9])(Z|[+-][0-9]{{2}}:?[0-9]{{2}}|[a-z]+/[a-z_]+|(?:UTC|GMT|BST|CES?T|E[SD]T|C[SD]T|AE[SD]T|JST|IST))$', 1) AS zone FROM c LEFT JOIN feeds USING (feed_id)),
+t1 AS (SELECT *, trim(CASE WHEN zone <> '' AND NOT regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN left(value, length(value) - length(zone)) ELSE value END, ' ,') AS s FROM t0),
+t2 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, ' Uhr$', ''), '^[A-Z][a-z]{{2}}, ', ''), ' à ([0-9]{{2}})h', ' \\1:'), '([0-9])T([0-9])', '\\1 \\2'), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})([0-9]{{2}}:)', '\\1 \\2') AS u FROM t1),
+t3 AS (SELECT *, lower(regexp_extract(u, '([A-Za-zäéûàô]{{3,}})', 1)) AS word FROM t2),
+t4 AS (SELECT t3.*, (SELECT min(n) FROM m WHERE starts_with(w, word) AND length(word) >= 3) AS mon FROM t3),
+t5 AS (SELECT *, regexp_replace(CASE WHEN mon IS NULL THEN u WHEN regexp_matches(u, '^[0-9]') THEN regexp_replace(u, '^([0-9]{{1,2}})[. -]+[^0-9]+?[ -]*([0-9]{{4}}),? +', '\\2-' || mon || '-\\1 ') ELSE regexp_replace(u, '^[^0-9]+ ([0-9]{{1,2}}), ([0-9]{{4}}) ', '\\2-' || mon || '-\\1 ') END, '([0-9]:[0-9]{{2}}:[0-9]{{2}})[.,][0-9]+$', '\\1') AS v FROM t4),
+t6 AS (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]{{4}}') THEN try_strptime(v, {_formats(_FIXED)}) WHEN regexp_matches(v, '^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}') THEN (CASE date_order WHEN 'MDY' THEN try_strptime(v, {_formats(_MONTH_FIRST)}) ELSE try_strptime(v, {_formats(_DAY_FIRST)}) END)
+  ELSE (CASE date_order WHEN 'MDY' THEN try_strptime(v, {_formats(_SHORT["MDY"])}) WHEN 'YMD' THEN try_strptime(v, {_formats(_SHORT["YMD"])}) ELSE try_strptime(v, {_formats(_SHORT["DMY"])}) END) END AS w FROM t5),
+t AS (SELECT cell_id, record_id, field_key, CASE
+  WHEN regexp_matches(value, '^[0-9]{{9,17}}(\\.[0-9]+)?$') THEN CASE WHEN length(split_part(value, '.', 1)) < 12 THEN split_part(value, '.', 1)::BIGINT WHEN length(split_part(value, '.', 1)) < 15 THEN split_part(value, '.', 1)::BIGINT // 1000 ELSE split_part(value, '.', 1)::BIGINT // 1000000 END
+  WHEN w IS NULL THEN NULL
+  WHEN regexp_matches(zone, '^[+-]') THEN epoch(w)::BIGINT - (CASE left(zone, 1) WHEN '-' THEN -1 ELSE 1 END) * (substr(zone, 2, 2)::INTEGER * 3600 + right(zone, 2)::INTEGER * 60)
+  WHEN zone LIKE '%/%' THEN {_at("zone")}
+  WHEN zone <> '' THEN epoch(w)::BIGINT - 60 * (SELECT minutes FROM z WHERE abbr = upper(zone))
+  ELSE {_at("tz_name")} END AS instant FROM t6)"""
+P3 = f"WITH {P3_ROWS} SELECT l.cell_id AS left_cell_id, r.cell_id AS right_cell_id FROM t l JOIN t r USING (record_id, field_key, instant) WHERE l.cell_id < r.cell_id"
+
+# quantities
+_UNITS = ", ".join("('{}', '{}', {!r}::DOUBLE, {!r}::DOUBLE, {})".format(k, a.replace("'", "''"), f, o, f"'{c}'" if c else "NULL") for k, a, f, o, c in quantities.unit_rows())
+_FIG = "[0-9](?:[0-9.,''’    ]*[0-9])?(?:[eE][+-]?[0-9]+)?"
+
+
+def _total(pattern: str, *factors: float) -> str:
+    return f"CASE WHEN regexp_matches(low, '{pattern}') THEN " + " + ".join(f"coalesce(try_cast(replace(regexp_extract(low, '{pattern}', {i + 1}), ',', '.') AS DOUBLE), 0) * {f!r}" for i, f in enumerate(factors)) + " END"
+
+
+_N = "([0-9]+(?:[.,][0-9]+)?)"
+P5 = f"""WITH un(kind, alias, factor, shift, currency) AS (VALUES {_UNITS}),
+units AS (SELECT kind, alias, factor * coalesce(eur_per_unit, 1) AS factor, shift FROM un LEFT JOIN fx_rates USING (currency)),
+c AS (SELECT DISTINCT 'cell' AS src, cell_id AS id, record_id AS g, field_key AS n, field_key AS kind, value, unit, decimal_mark AS mark, lower(home_currency) AS home FROM audit_cells LEFT JOIN feeds USING (feed_id) WHERE field_key IN ('length', 'weight', 'floor_area', 'volume', 'temperature', 'duration', 'interest_rate', 'amount')
+  UNION SELECT DISTINCT 'trust', field_id, artifact_key, name, 'amount', value, currency, NULL, NULL FROM trust_fields WHERE name IN ('total_amount', 'costs_awarded', 'security_deposit', 'filing_fee')),
+f AS (SELECT *, lower(trim(value, ' ')) AS low, regexp_replace(regexp_extract(value, '{_FIG}'), '[''’    ]', '', 'g') AS fig,
+  lower(trim(regexp_replace(replace(regexp_replace(regexp_replace(value, '\\(([^)]*[0-9][^)]*)\\)', '\\1'), '^([^0-9]*){_FIG}', '\\1 '), '-', ' '), '[    ]+', ' ', 'g'), ' ')) AS said,
+  regexp_matches(value, '\\([^)]*[0-9][^)]*\\)|^[^0-9]*-\\s*[^0-9]{{0,4}}[0-9]') AS minus FROM c WHERE value IS NOT NULL),
+k AS (SELECT *, coalesce(nullif(lower(trim(unit, ' ')), ''), nullif(said, ''), CASE WHEN kind = 'amount' THEN home END) AS al, coalesce(mark, CASE
+  WHEN regexp_matches(fig, ',.*\\.') THEN '.' WHEN regexp_matches(fig, '\\..*,') THEN ',' WHEN regexp_matches(fig, '\\..*\\.|^[1-9][0-9]{{0,2}}\\.[0-9]{{3}}$') THEN ',' WHEN regexp_matches(fig, ',.*,|^[1-9][0-9]{{0,2}},[0-9]{{3}}$') THEN '.' WHEN contains(fig, ',') THEN ',' ELSE '.' END) AS dm,
+  CASE WHEN kind = 'duration' THEN coalesce({_total(f"^{_N}:([0-9]{{1,2}}):{_N}$", 3600, 60, 1)}, {_total(f"^pt{_N}h{_N}m{_N}s$", 3600, 60, 1)}, {_total(f"^{_N} ?h ?{_N} ?m(?:in)?(?: ?{_N} ?s)?$", 3600, 60, 1)})
+       WHEN kind = 'length' THEN {_total(f"^{_N} ?(?:ft|'') ?{_N} ?(?:in|" + '"' + ")$", 0.3048, 0.0254)} END AS total FROM f),
+q AS (SELECT src, id, g, n, k.kind, coalesce(total, (CASE WHEN minus THEN -1 ELSE 1 END) * try_cast(CASE dm WHEN ',' THEN replace(replace(fig, '.', ''), ',', '.') ELSE replace(fig, ',', '') END AS DOUBLE) * factor + shift) AS v
+  FROM k LEFT JOIN units u ON u.kind = k.kind AND u.alias = CASE WHEN al = '$' THEN home ELSE al END)
+SELECT l.src, l.id AS left_id, r.id AS right_id FROM q l JOIN q r ON l.src = r.src AND l.g = r.g AND l.n = r.n AND l.id < r.id
+WHERE CASE WHEN l.kind = 'temperature' THEN abs(l.v - r.v) < 0.1 ELSE abs(l.v - r.v) < 0.002 * greatest(abs(l.v), abs(r.v)) OR l.v = r.v END"""
+
+ORACLES = {"p2_found": P2, "p3_found": P3, "p5_found": P5}
