@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import general, oracles, reference
+from factloom.plans import facts, general, oracles, reference
 
-QUERIES = {**general.QUERIES, **reference.QUERIES}
-ORACLES = {**oracles.ORACLES, **reference.ORACLES}
+QUERIES = {**general.QUERIES, **reference.QUERIES, **facts.QUERIES}
+ORACLES = {**oracles.ORACLES, **reference.ORACLES, **facts.ORACLES}
