@@ -91,6 +91,11 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(p10_found(spark, d), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("kept"))
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned text as continuous paragraphs, without heads, page numbers, split and misread words."""
+    return scanned.repaired(*_scanned(spark, d))
+
+
 def _results(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     results = table(spark, d, "parse_results").where(F.expr(only) & (F.length("full_text") > 0))
     return common.latest_texts(results, "result_id", "parsed_at", "full_text")
@@ -145,5 +150,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_sized(spark, d), table(spark, d, "mix_targets"), key="doc_id", source="source", size="tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p7_found, p7_pieces, p7_page_pieces, p8_placed, p8_containers, p9_shares, p9_mixed, p10_found, p10_residue, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p6_repaired, p7_found, p7_pieces, p7_page_pieces, p8_placed, p8_containers, p9_shares, p9_mixed, p10_found, p10_residue, p10_kept)}
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ and turns into it by known confusions. Counts run over all texts. Null and empty
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -192,3 +193,65 @@ def repaired_parts(results: DataFrame, blocks: DataFrame) -> dict[str, DataFrame
     first = odd.where("NOT startswith(right, _a)").select(*both, "line_no", F.col("a").alias("word"), "right")
     second = odd.where("startswith(right, _a) OR NOT endswith(right, _b)").select(*both, F.col("next_no").alias("line_no"), F.col("b").alias("word"), "right")
     return {"furniture": found.withColumn("src", F.lit("result")).select(*both, "line_no", "kind"), "cuts": cuts, "misread": plain.unionByName(first).unionByName(second)}
+
+
+def _cased(word: str, right: str) -> str:
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if word[:1].isupper() else right
+
+
+def repaired_text(lines: list[str], edits: list) -> str:
+    """Paragraphs of a text without its furniture, with split words joined and misread words repaired. Edits are rows with kind, line_no,
+    and for cuts next_no, a, b, joined, for misread words word and right."""
+    drop = {e["line_no"] for e in edits if e["kind"] == "drop"}
+    text = {n: line for n, line in enumerate(lines, 1) if n not in drop}
+    for e in edits:
+        if e["kind"] == "misread" and e["line_no"] in text:
+            text[e["line_no"]] = re.sub(rf"(?<![\w!]){re.escape(e['word'])}(?![\w])", lambda m, e=e: _cased(e["word"], e["right"]), text[e["line_no"]])
+    for e in sorted((e for e in edits if e["kind"] == "cut"), key=lambda e: e["line_no"]):
+        n, m = e["line_no"], e["next_no"]
+        if n in text and m in text:
+            head = re.match(r"\s*(\S+)", text[m])
+            tail = text[n].rstrip()
+            if head and tail and tail[-1] in HYPHENS:
+                whole = tail[:-1] + ("" if e["joined"] else "-") + head.group(1)
+                if e["joined"] and e["right"]:
+                    whole = re.sub(r"[^\W\d_][\w!'’-]*(?=\W*$)", lambda w, e=e: _cased(w.group(), e["right"]), whole)
+                text[n], text[m] = whole, text[m][head.end() :].lstrip()
+    paragraphs: list[str] = []
+    fresh = True
+    for n in sorted(text):
+        line = text[n].rstrip()
+        body = line.strip()
+        if not body:
+            fresh = True
+            continue
+        begins = bool(re.match(r"\s*(?:[\[(]\d+[\])]|\d+\.)\s|\s{2,}\S", line))
+        open_end = bool(paragraphs) and not re.search(r"[.!?:;…]\W*$", paragraphs[-1])
+        if paragraphs and (not fresh and (open_end or not begins) or open_end and body[:1].islower()):
+            paragraphs[-1] += " " + body
+        else:
+            paragraphs.append(body)
+        fresh = False
+    return "\n\n".join(paragraphs)
+
+
+def repaired(results: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(src, row_id, repaired): every scanned text as continuous paragraphs. Texts without findings keep their words."""
+    common.by_value(sys.modules[__name__])
+    parts, none = repaired_parts(results, blocks), lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    s, i = "string", "int"
+    drop = parts["furniture"].select("src", "row_id", F.lit("drop").alias("kind"), "line_no", *none(("next_no", i), ("joined", s), ("word", s), ("right", s)))
+    cut = parts["cuts"].select("src", "row_id", F.lit("cut").alias("kind"), "line_no", "next_no", "joined", *none(("word", s)), "right")
+    mis = parts["misread"].select("src", "row_id", F.lit("misread").alias("kind"), "line_no", *none(("next_no", i), ("joined", s)), "word", "right")
+    edits = drop.unionByName(cut).unionByName(mis).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "line_no", "next_no", "joined", "word", "right")).alias("edits"))
+    texts = results.select(F.lit("result").alias("src"), "row_id", F.array_join("pages", "\n").alias("text")).unionByName(blocks.select(F.lit("block").alias("src"), "row_id", "text"))
+    fix = repaired_text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["src", "row_id"]].assign(repaired=[fix(t.split("\n"), list(e) if e is not None else []) for t, e in zip(pdf["text"], pdf["edits"])])
+
+    return texts.where(F.length("text") > 0).join(edits, ["src", "row_id"], "left").mapInPandas(run, "src string, row_id bigint, repaired string")

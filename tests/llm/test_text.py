@@ -123,6 +123,9 @@ def test_scanned(spark):
     cuts = {(r["src"], r["row_id"], r["line_no"]): r["joined"] for r in parts["cuts"].collect()}
     assert cuts == {("result", 1, 4): "arrangement", ("result", 1, 7): None, ("block", 7, 2): "counsel"}
     assert {(r["src"], r["row_id"], r["line_no"], r["right"]) for r in parts["misread"].collect()} == {("result", 1, 8, "respondent"), ("block", 7, 1, "learned"), ("block", 7, 1, "tribunal")}
+    text = {(r["src"], r["row_id"]): r["repaired"] for r in scanned.repaired(results, blocks).collect()}
+    assert " ".join(text["result", 1].split()).startswith(f"A Ltd v B Ltd {body} the respondent had the arrangement and the well-founded claim of the respondent was good the arrangement")
+    assert text["block", 7] == "the learned tribunal agreed with counsel" and text["block", 8] == "" and ("result", 3) not in text
     empty = scanned.repaired_parts(results.limit(0), blocks.limit(0))
     assert all(f.count() == 0 for f in empty.values())
 
