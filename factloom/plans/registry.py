@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, general, oracles, reference
+from factloom.plans import documents, facts, general, oracles
 
-QUERIES = {**general.QUERIES, **reference.QUERIES, **facts.QUERIES}
-ORACLES = {**oracles.ORACLES, **reference.ORACLES, **facts.ORACLES}
+QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES}
+ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -22,11 +25,20 @@ def local_session(cpus: int | str = "*", app: str = "factloom", **extra: str) ->
     return SparkSession.builder.config(map=conf).getOrCreate()
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    """A folder of this process, removed when it ends; only for sessions that name none, as in tests."""
+    path = tempfile.mkdtemp(prefix="factloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the one the cluster names, or a local one where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.abspath(os.path.join(os.environ.get("TMPDIR", "/tmp"), "factloom-checkpoints"))
+        own = _own_folder()
+        named = f"file://{own}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
