@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.io import table
-from factloom.operators.common import guarded_broadcast
+from factloom.operators.common import guarded_broadcast, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,10 +312,23 @@ def classify_redaction(spark, d):
     return table(spark, d, "text_blocks").where(c.isNotNull()).select("block_id", "doc_id", F.lower(c).rlike("e-mail|email|@").alias("contact"), c.rlike("[0-9]{9,}").alias("number"), c.rlike(r"\*{2,}|REDACTED").alias("masked")).distinct()
 
 
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _distinct_chars(c: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.regexp_replace(c, _BLANKS, ""), "")), lambda x: x != "")
+
+
 @query("SELECT doc_id, round(list_unique(string_split(substr(text, 1, 3000), '')) / 1.0, 1) AS distinct_chars, length(text) = n_chars AS length_ok FROM documents WHERE length(text) > 0")
 def char_preservation(spark, d):
-    """Distinct characters of a text's head and whether the stated length holds."""
-    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.size(F.array_distinct(F.split(F.substring("text", 1, 3000), ""))).cast("double").alias("distinct_chars"), (F.length("text") == F.col("n_chars")).alias("length_ok"))
+    """Share of a document's distinct characters that the text of each of its parse results keeps, blanks aside, and whether the stated length
+    holds. Whole texts are read; each is cut down to its distinct characters before anything is shuffled."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", _distinct_chars(F.col("text")).alias("chars"), (F.length("text") == F.col("n_chars")).alias("length_ok"))
+    found = table(spark, d, "parse_results").where("doc_id IS NOT NULL").select("result_id", "parsed_at", "doc_id", _distinct_chars(F.coalesce("full_text", F.lit(""))).alias("found"))
+    j = docs.join(latest(found, "result_id", "parsed_at", "doc_id", "found"), "doc_id", "left")
+    n, kept = F.size("chars"), F.size(F.array_intersect("chars", "found"))
+    rate = F.when(F.col("found").isNull(), None).when(n == 0, 1.0).otherwise(F.round(kept / n, 6))
+    return j.select("doc_id", "result_id", n.cast("double").alias("distinct_chars"), rate.alias("preserved"), "length_ok")
 
 
 @query("SELECT DISTINCT result_id, page_count, len(pages) AS pages, count_content AS filled, CASE WHEN page_count <= 1 THEN 1.0 ELSE round(count_content / page_count, 6) END AS coverage FROM (SELECT result_id, page_count, pages, len([p FOR p IN pages IF length(p.page_text) > 0]) AS count_content FROM parse_results WHERE pages IS NOT NULL AND page_count > 0)")
