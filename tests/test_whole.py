@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from compare import connect, difference
+from pyspark.sql import functions as F
 
+from factloom.functions import scalars
 from factloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +35,15 @@ def test_char_preservation_sql(spark):
     SELECT doc_id, result_id, len({chars('text')}) / 1.0 AS distinct_chars, CASE WHEN t IS NULL THEN NULL WHEN len({chars('text')}) = 0 THEN 1.0 ELSE round(len(list_intersect({chars('text')}, {chars('t')})) / len({chars('text')}), 6) END AS preserved, length(text) = n_chars AS length_ok
     FROM documents LEFT JOIN r USING (doc_id) WHERE text IS NOT NULL"""
     assert difference(spark, FOLDER, registry.QUERIES["char_preservation"], sql, connect(FOLDER)) == ""
+
+
+def test_language_reads_whole_texts(spark):
+    rows = [(0, "a" * 3000 + "合" * 3000), (1, "合" * 3000 + "a" * 27000), (2, "a" * 3000 + "合" * 100), (3, " ")]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", scalars.language_of(F.col("t")).alias("l"))
+    assert dict(map(tuple, df.collect())) == {0: "zh", 1: "mixed", 2: "en", 3: "unknown"}
+
+
+def test_language_share_sql(spark):
+    sql = """WITH s AS (SELECT DISTINCT result_id, full_text, length(regexp_replace(full_text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(length(full_text), 1) AS share FROM parse_results)
+    SELECT DISTINCT result_id, CASE WHEN length(trim(coalesce(full_text, ''), ' ')) = 0 THEN 'unknown' WHEN share > 0.3 THEN 'zh' WHEN share > 0.05 THEN 'mixed' ELSE 'en' END AS language FROM s"""
+    assert difference(spark, FOLDER, registry.QUERIES["language_share"], sql, connect(FOLDER)) == ""
