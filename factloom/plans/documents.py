@@ -365,7 +365,7 @@ def registry_lookup(spark, d):
     """Dictionary lookups as joins; side tables are broadcast only after their size is checked."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.lit(1).cast("bigint").alias("suppliers"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_distinct("s_suppkey").alias("suppliers"))
     j = n.join(guarded_broadcast(r), n["n_regionkey"] == r["r_regionkey"]).join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
     return j.select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 

@@ -47,3 +47,17 @@ def test_language_share_sql(spark):
     sql = """WITH s AS (SELECT DISTINCT result_id, full_text, length(regexp_replace(full_text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(length(full_text), 1) AS share FROM parse_results)
     SELECT DISTINCT result_id, CASE WHEN length(trim(coalesce(full_text, ''), ' ')) = 0 THEN 'unknown' WHEN share > 0.3 THEN 'zh' WHEN share > 0.05 THEN 'mixed' ELSE 'en' END AS language FROM s"""
     assert difference(spark, FOLDER, registry.QUERIES["language_share"], sql, connect(FOLDER)) == ""
+
+
+def test_registry_lookup_counts_every_supplier(spark, tmp_path):
+    d = _of(
+        spark, tmp_path,
+        nation=([(1, "N", 1), (2, "M", 1)], "n_nationkey int, n_name string, n_regionkey int"), region=([(1, "R")], "r_regionkey int, r_name string"),
+        customer=([(5, 1), (6, 1)], "c_custkey bigint, c_nationkey int"), supplier=([(7, 1), (8, 1), (9, 1)], "s_suppkey bigint, s_nationkey int"),
+    )
+    assert {tuple(r) for r in registry.QUERIES["registry_lookup"](spark, d).collect()} == {("N", "R", 2, 3), ("M", "R", 0, 0)}
+
+
+def test_registry_lookup_sql(spark):
+    sql = "SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey"
+    assert difference(spark, FOLDER, registry.QUERIES["registry_lookup"], sql, connect(FOLDER)) == ""
