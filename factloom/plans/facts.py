@@ -82,9 +82,8 @@ def headers_match(spark, d):
 
 @query(f"SELECT record_id, max(CASE WHEN field_key = 'party_name' THEN value END) AS party_name, max(CASE WHEN field_key = 'party_role' THEN value END) AS party_role, max(CASE WHEN field_key = 'counsel' THEN value END) AS counsel FROM {CELLS} WHERE dataset_id = 'ds_parties' GROUP BY 1")
 def wide_records(spark, d):
-    """Wide rows of a dataset: fields pivoted to columns."""
-    c = _cells(spark, d).where("dataset_id = 'ds_parties'")
-    return c.groupBy("record_id").agg(*[F.max(F.when(F.col("field_key") == k, F.col("value"))).alias(k) for k in ("party_name", "party_role", "counsel")])
+    """Wide rows of every dataset: each field key that occurs becomes a column, null where a dataset hasn't that field."""
+    return table(spark, d, "audit_cells").groupBy("dataset_id", "record_id").pivot("field_key").agg(F.max("value"))
 
 
 @query("WITH p AS (SELECT doc_id, line_no, line, sum(CASE WHEN regexp_matches(line, '^\\s*[\\[(]?[0-9]+[\\]).] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS para FROM (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))) SELECT doc_id, CAST(para AS BIGINT) AS para, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM p GROUP BY 1, 2")

@@ -61,3 +61,18 @@ def test_registry_lookup_counts_every_supplier(spark, tmp_path):
 def test_registry_lookup_sql(spark):
     sql = "SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey"
     assert difference(spark, FOLDER, registry.QUERIES["registry_lookup"], sql, connect(FOLDER)) == ""
+
+
+def test_wide_records_keeps_every_dataset_and_field(spark, tmp_path):
+    cells = [("ds_a", "r1", "x", "1"), ("ds_a", "r1", "y", "2"), ("ds_a", "r1", "x", "1"), ("ds_parties", "r2", "seq_no", "7"), ("ds_b", "r3", "x", None)]
+    got = registry.QUERIES["wide_records"](spark, _of(spark, tmp_path, audit_cells=(cells, "dataset_id string, record_id string, field_key string, value string")))
+    assert {r["record_id"]: r.asDict() for r in got.collect()} == {
+        "r1": {"dataset_id": "ds_a", "record_id": "r1", "seq_no": None, "x": "1", "y": "2"},
+        "r2": {"dataset_id": "ds_parties", "record_id": "r2", "seq_no": "7", "x": None, "y": None},
+        "r3": {"dataset_id": "ds_b", "record_id": "r3", "seq_no": None, "x": None, "y": None},
+    }
+
+
+def test_wide_records_sql(spark):
+    sql = "PIVOT (SELECT dataset_id, record_id, field_key, value FROM audit_cells) ON field_key USING max(value) GROUP BY dataset_id, record_id"
+    assert difference(spark, FOLDER, registry.QUERIES["wide_records"], sql, connect(FOLDER)) == ""
