@@ -105,3 +105,19 @@ def links(p: DataFrame, key: str = "artifact_id") -> DataFrame:
     contains = F.expr("transform(filter(edges, e -> e.edge_type = 'contains'), x -> named_struct('link_kind', 'contains', 'parent_id', x.parent_id, 'child_id', x.id))")
     every = F.flatten(F.array(of("pages", "page"), of("blocks", "block"), contains, of("datasets", "dataset"), of("rows", "row"), of("items", "item")))
     return p.select(key, F.inline(every)).where("parent_id IS NOT NULL AND child_id IS NOT NULL").distinct()
+
+
+# The node fields that two graphs are compared by.
+NODE_FIELDS = ("kind", "label", "value_preview", "raw_preview", "confidence", "review", "page", "bbox", "source_refs", "field_path", "edition")
+
+
+def graph_elements(df: DataFrame, *keys: str, payload: str = "payload") -> DataFrame:
+    """(keys, elements): the graph of each readable payload as elements (part, a, b, idx, fields): nodes by id with NODE_FIELDS as text, edges
+    by their ends, and the quality decision. Nodes without an id are left out."""
+    j = df.select(*keys, F.expr(f"try_parse_json(`{payload}`)").alias("_j")).where(F.expr(_get("_j", "$", "map<string,variant>") + " IS NOT NULL"))
+    j = staged(j, {"_nodes": F.expr(_opened(_get("_j", "$.mirror.graph.nodes", "variant"))), "_edges": F.expr(_opened(_get("_j", "$.mirror.graph.edges", "variant"))), "_decision": F.expr(_get("_j", "$.mirror.graph.quality_decision.decision"))})
+    fields = ", ".join(f"CAST({_get('x.v', '$.' + f, 'double')} AS STRING)" if f in ("confidence", "page") else _get("x.v", "$." + f) for f in NODE_FIELDS)
+    nodes = f"filter(transform({_list('_nodes', 'id', 'kind')}, (x, i) -> named_struct('part', 'node', 'a', coalesce({_get('x.v', '$.id')}, x.k), 'b', '', 'idx', i, 'fields', array({fields}))), x -> x.a IS NOT NULL)"
+    edges = f"transform({_list('_edges', 'from', 'to')}, (x, i) -> named_struct('part', 'edge', 'a', coalesce({_get('x.v', '$.from')}, ''), 'b', coalesce({_get('x.v', '$.to')}, ''), 'idx', i, 'fields', CAST(array() AS array<string>)))"
+    decision = "array(named_struct('part', 'quality_decision', 'a', '', 'b', '', 'idx', 0, 'fields', array(_decision)))"
+    return j.select(*keys, F.expr(f"concat({nodes}, {edges}, {decision})").alias("elements"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.io import table
+from factloom.operators import nested
 from factloom.operators.common import guarded_broadcast, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,11 +248,23 @@ def package_consistency(spark, d):
 
 @query("WITH a AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1")
 def graph_diff(spark, d):
-    """Full outer comparison of two states of the accounts."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    a, b = c.where("id % 3 <> 0").withColumnRenamed("v", "va").withColumn("ia", F.lit(True)), c.where("id % 5 <> 0").withColumn("vb", F.when(F.expr("id % 7 = 0"), F.col("v") + 1).otherwise(F.col("v"))).drop("v").withColumn("ib", F.lit(True))
-    change = F.when(F.col("ia").isNull(), "added").when(F.col("ib").isNull(), "removed").when(~F.col("va").eqNullSafe(F.col("vb")), "changed").otherwise("same")
-    return a.join(b, "id", "full").groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+    """Changes between the graphs of each readable delivery of a document and the one before it: nodes by id and field, edges by their ends, and
+    the quality decision, with what stayed the same. A document delivered once has nothing to be compared with."""
+    rows = table(spark, d, "mirror_artifacts").where("document_id IS NOT NULL").withColumn("tie", F.xxhash64("payload"))
+    by_doc = Window.partitionBy("document_id")
+    g = nested.graph_elements(rows, "document_id", "received_at", "artifact_id", "tie")
+    g = g.withColumns({"n": F.row_number().over(by_doc.orderBy("received_at", "artifact_id", "tie")), "of": F.count("*").over(by_doc)}).where("of > 1")
+    sides = F.expr("explode(filter(array(named_struct('pair', n, 'base', true), named_struct('pair', n - 1, 'base', false)), s -> s.pair BETWEEN 1 AND of - 1))")
+    e = g.select("document_id", "elements", sides.alias("side")).select("document_id", "side.*", F.inline("elements"))
+    last = lambda here: F.max(F.when(here, F.struct("idx", "fields")))
+    j = e.groupBy("document_id", "pair", "part", "a", "b").agg(last(F.col("base")).alias("v"), last(~F.col("base")).alias("w"))
+    named = {"confidence": "confidence_changed", "bbox": "bbox_changed", "value_preview": "field_value_changed", "raw_preview": "field_value_changed", "review": "review_changed"}
+    kinds = F.array(*[F.lit(named.get(f, "node_changed")) for f in nested.NODE_FIELDS])
+    differ = F.zip_with(F.col("v.fields"), F.col("w.fields"), lambda x, y: ~x.eqNullSafe(y))
+    of_part = lambda x: F.concat("part", F.lit(x))
+    changed = F.when(F.col("part") == "node", F.filter(F.zip_with(differ, kinds, lambda x, k: F.when(x, k)), lambda k: k.isNotNull())).otherwise(F.array(of_part("_changed")))
+    changes = F.when(F.col("v").isNull(), F.array(of_part("_added"))).when(F.col("w").isNull(), F.array(of_part("_removed"))).when(F.exists(differ, lambda x: x), changed).otherwise(F.array(of_part("_same")))
+    return j.select(F.explode(changes).alias("change")).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @query("UNPIVOT (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders) ON o_custkey, o_orderstatus, o_orderpriority INTO NAME field VALUE value")

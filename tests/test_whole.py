@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
 from compare import connect, difference
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.plans import registry
+from factloom.plans.oracles import _elements, _opened
 
 FOLDER = "/root/testdata/sf0.001"
 _BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -76,3 +80,33 @@ def test_wide_records_keeps_every_dataset_and_field(spark, tmp_path):
 def test_wide_records_sql(spark):
     sql = "PIVOT (SELECT dataset_id, record_id, field_key, value FROM audit_cells) ON field_key USING max(value) GROUP BY dataset_id, record_id"
     assert difference(spark, FOLDER, registry.QUERIES["wide_records"], sql, connect(FOLDER)) == ""
+
+
+def test_graph_diff_compares_deliveries(spark, tmp_path):
+    def graph(nodes, edges, **more):
+        return json.dumps({"mirror": {"graph": {"nodes": nodes, "edges": edges} | more}})
+
+    edge = lambda a, b: {"from": a, "to": b}
+    first = graph([{"id": "b1", "kind": "block", "confidence": 0.8}, {"id": "b2", "kind": "block"}, {"id": "b3"}], [edge("b1", "b2"), edge("b2", "b3")])
+    second = graph(json.dumps([{"id": "b1", "kind": "table", "confidence": 0.5}, {"id": "b2", "kind": "block"}, {"id": "b4"}]), {"e1": edge("b1", "b2"), "e2": edge("b2", "b4")}, quality_decision={"decision": "reject"})
+    rows = [(1, "A", first), (1, "A", '{"mirror": '), (1, "A", second), (2, "B", first), (3, "C", second), (3, "C", second)]
+    at = [(*r, datetime.datetime(2024, 1, 1 + i)) for i, r in enumerate(rows)]
+    got = registry.QUERIES["graph_diff"](spark, _of(spark, tmp_path, mirror_artifacts=(at, "artifact_id bigint, document_id string, payload string, received_at timestamp")))
+    assert {r["change"]: r["n"] for r in got.collect()} == {
+        "node_added": 1, "node_removed": 1, "node_changed": 1, "confidence_changed": 1, "node_same": 4, "edge_added": 1, "edge_removed": 1, "edge_same": 3,
+        "quality_decision_changed": 1, "quality_decision_same": 1,
+    }
+
+
+def test_graph_diff_sql(spark):
+    """The nodes of the tables have an id and a kind only, and no graph has a decision."""
+    sql = f"""WITH j AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY received_at, artifact_id) AS n, payload::JSON AS p FROM mirror_artifacts WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+    g AS (SELECT document_id, n, {_opened("(p -> '$.mirror.graph.nodes')")} AS nodes, {_opened("(p -> '$.mirror.graph.edges')")} AS edges FROM j),
+    e AS (SELECT document_id, n, 'node' AS part, coalesce(e.v ->> '$.id', e.k) AS a, '' AS b, e.v ->> '$.kind' AS kind FROM (SELECT document_id, n, {_elements("nodes", "id", "kind")} AS e FROM g)
+      UNION SELECT document_id, n, 'edge', coalesce(e.v ->> '$.from', ''), coalesce(e.v ->> '$.to', ''), NULL FROM (SELECT document_id, n, {_elements("edges", "from", "to")} AS e FROM g)),
+    pairs AS (SELECT x.document_id, x.n FROM j x JOIN j y ON x.document_id = y.document_id AND y.n = x.n + 1),
+    v AS (SELECT e.* FROM e JOIN pairs USING (document_id, n)), w AS (SELECT e.document_id, e.n - 1 AS n, part, a, b, kind FROM e JOIN pairs p ON p.document_id = e.document_id AND p.n = e.n - 1)
+    SELECT CASE WHEN v.part IS NULL THEN w.part || '_added' WHEN w.part IS NULL THEN v.part || '_removed' WHEN v.kind IS DISTINCT FROM w.kind THEN 'node_changed' ELSE v.part || '_same' END AS change, count(*) AS n
+    FROM v FULL JOIN w ON v.document_id = w.document_id AND v.n = w.n AND v.part = w.part AND v.a = w.a AND v.b = w.b GROUP BY 1
+    UNION ALL SELECT 'quality_decision_same', count(*) FROM pairs HAVING count(*) > 0"""
+    assert difference(spark, FOLDER, registry.QUERIES["graph_diff"], sql, connect(FOLDER)) == ""
