@@ -54,12 +54,17 @@ SCRIPTS = [
 DESCRIBED = r"(?i)\b(?:explained that|as pleaded|printed words|photographed|exhibited as|invoiced them|redacted|shows error|the omitted words)\b"
 QUOTED = r"[\"“”„][^\"“”„\n]*[\"“”]"
 KINDS = {"placeholder": PLACEHOLDERS, "script_notice": SCRIPTS, "error_page": ERRORS, "filler": FILLERS}
-# Every line that a detector knows holds one of these (in lower case).
+# Forms that may go over a sentence end; they are tried on whole lines.
+SPANNING = [("error_page", ERRORS[2]), *[("filler", FILLERS[i]) for i in (1, 2, 3, 5)]]
+# Every line that a pattern knows holds one of these (in lower case), after blanks behind an opening bracket are dropped, or one of
+# EXACT as it stands, or begins with a word twice; lines of filler Latin hold four words of LATIN. tests/llm/test_triggers.py derives examples of
+# each pattern's branches.
 TRIGGERS = (
     "blah|insert |yyyy|jjjj|aaaa|mm-dd| null|null,|nan,|nan.|nan |undefined|[object|xx|test test|{{|${|<%|<<|«|@@|%|__|#|***|<|{|[insert|[enter|[add|[type|[fill|[tb|[to be|[delete|[name of|[date of|[ein|[ins|[à|[rell|[template|[draft|[note|[guid|todo|fixme|tbd|tbc|set out here|delete |here to enter|goes here|text here|content here|choose an item"
     "|sample text|placeholder|dummy|blindtext|texte d'ex|texto de ej|lorem|ipsum|foo bar|foo, bar|asdf|quick brown|error|not found|be found|: gone|: forbidden| gone|forbidden|unavailable|gateway|too many|unauthor|bad request|access denied|please try|oops|introuvable|n'existe|n’existe|solicitada|vuelva al|nicht gefunden|die angeforderte|die gewünschte|die aufgerufene|fehler "
-    "|sorry|went wrong|permission to|verweigert|accès refusé|acceso denegado|then reload|traceback|uncaught|located on|the requested|maintenance|is temporarily|expected back|browser|your session|incident |ray id|reference #|unusual traffic|a human|you are human|loading|powered by|javascript|java script|noscript|scripting|scripts|client-side script| js | js,| js.|js |dolor |sit |amet "
+    "|sorry|went wrong|permission to|verweigert|accès refusé|acceso denegado|then reload|traceback|uncaught|located on|the requested|maintenance|is temporarily|expected back|browser|your session|incident |ray id|reference #|unusual traffic|a human|you are human|loading|powered by|javascript|java script|noscript|scripting|scripts|client-side script|dolor |sit |amet |/yy|.yy|-yy|gone,|gone.|baz"
 ).split("|")
+EXACT = ("NULL", "NaN")
 
 
 def _compiled(patterns: list[str]) -> list:
@@ -74,17 +79,34 @@ class Detector:
 
         self.auto = ahocorasick.Automaton()
         for w in TRIGGERS:
-            self.auto.add_word(w, w)
+            self.auto.add_word(w, 0)
+        for w in [*LATIN, "js"]:
+            if w not in self.auto:
+                self.auto.add_word(w, len(w))
         self.auto.make_automaton()
         self.kinds = {k: _compiled(v) for k, v in KINDS.items()}
         self.described, self.quoted, self.latin = re.compile(DESCRIBED), re.compile(QUOTED), set(LATIN)
+        self.over = [(k, re.compile(p)) for k, p in SPANNING]
         self.cut = re.compile(r"(?<=[.!?;])\s+(?=\S)")
-        self.word = re.compile(r"[^\W\d_]+")
+        self.word, self.bracket = re.compile(r"[^\W\d_]+"), re.compile(r"\[\s+")
 
     def worth(self, part: str) -> bool:
-        """Whether a part holds a trigger word or begins with a word twice."""
+        """Whether a part holds a trigger word or four words of filler Latin, or begins with a word twice."""
         first = part.split(None, 2)
-        return len(first) > 2 and first[0] == first[1] or next(self.auto.iter(part.lower()), None) is not None
+        if len(first) > 2 and first[0] == first[1] or any(x in part for x in EXACT):
+            return True
+        low, latin = part.lower(), 0
+        if "[" in low:
+            low = self.bracket.sub("[", low)
+        for end, n in self.auto.iter(low):
+            if not n:
+                return True
+            if self.word.match(low[end + 1 : end + 2]) or end >= n and self.word.match(low[end - n]):
+                continue
+            latin += 1
+            if latin == 4 or low[end - 1 : end + 1] == "js":
+                return True
+        return False
 
     def kind_of(self, sentence: str) -> str | None:
         bare = self.quoted.sub(" ", sentence)
@@ -96,6 +118,16 @@ class Detector:
         words = self.word.findall(bare.lower())
         return "filler" if len(words) >= 4 and sum(w in self.latin for w in words) >= 0.8 * len(words) else None
 
+    def spanning(self, line: str) -> str | None:
+        """Kind of a form that goes over a sentence end, unless the sentences that it is in describe it."""
+        bare, ends = self.quoted.sub(lambda m: " " * len(m.group()), line), None
+        for kind, p in self.over:
+            for m in p.finditer(bare):
+                ends = ends or [0, *[x.end() for x in self.cut.finditer(line)], len(line)]
+                if not self.described.search(line, max(e for e in ends if e <= m.start()), min(e for e in ends if e >= m.end())):
+                    return kind
+        return None
+
     def __call__(self, text: str) -> list[tuple[int, str]]:
         out = []
         for n, line in enumerate(text.split("\n"), 1):
@@ -107,6 +139,9 @@ class Detector:
                 if kind := self.kind_of(sentence):
                     out.append((n, kind))
                     break
+            else:
+                if len(line) >= 160 and (kind := self.spanning(line)):
+                    out.append((n, kind))
         return out
 
 
