@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.session import checkpoint_dir
 
-#: Rows up to which a side input is broadcast; beyond it the join is left to the planner.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes up to which a side input is broadcast; beyond either the join is left to the planner.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 8 << 20
 
 
-def guarded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side input for broadcast only after counting that it holds at most max_rows rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def guarded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a side input for broadcast only after counting that it holds at most max_rows rows and max_bytes of text."""
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= max_rows and size["b"] <= max_bytes else df
 
 
 def latest(df: DataFrame, key: str, arrived: str, *cols: str) -> DataFrame:
@@ -35,15 +39,42 @@ def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in cols], F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The rows written once as a table in the shared checkpoint folder and read from there: several readers don't compute them again, the
-    plan stays small, and a lost executor loses nothing. `drop_materialized` removes the tables of this application."""
-    path = f"{checkpoint_dir(df.sparkSession)}/factloom-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_SCOPE: ContextVar[str] = ContextVar("factloom_scope", default="session")
+
+
+def _tables_of(spark: SparkSession, scope: str = "") -> str:
+    return f"{checkpoint_dir(spark)}/factloom-{spark.sparkContext.applicationId}" + (f"/{scope}" if scope else "")
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Removes the tables that this application has written to the checkpoint folder; to be called when its results have been read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/factloom-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared checkpoint folder and read from there: several readers don't compute them again, the
+    plan stays small, and a lost executor loses nothing. The tables go when their `query_scope` ends, or else with the application."""
+    spark = df.sparkSession
+    path, fs = _path(spark, _tables_of(spark))
+    fs.deleteOnExit(path)
+    to = f"{_tables_of(spark, _SCOPE.get())}/{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def drop_materialized(spark: SparkSession, scope: str = "") -> None:
+    """Removes the tables of a scope, or all that this application has written to the checkpoint folder."""
+    path, fs = _path(spark, _tables_of(spark, scope))
+    fs.delete(path, True)
+
+
+@contextmanager
+def query_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that queries write inside the block are dropped when it ends; read or write the results inside it."""
+    scope = uuid.uuid4().hex
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        drop_materialized(spark, scope)

@@ -3,8 +3,10 @@
 The payload is parsed once to a VARIANT. Nested `transform` calls attach the ancestors' keys and indices to each element, `flatten`
 combines the arrays of one level, and one `inline` per target table emits its rows. A list may be given as an array, as one bare
 object, as an object keyed by id, or as JSON inside a string; all give the same rows. Payloads that are null, empty or not complete
-JSON give no rows; elements without an id keep their index but give no link. Blocks nest to any depth: the number of levels to unroll
-follows from one pass that measures the deepest braces of the data.
+JSON give no rows; elements without an id keep their index but give no link. A payload may be wrapped: what stands under `result` (an
+object or JSON inside a string, at any depth of wrapping up to WRAPPED) counts where the record itself has neither `mirror` nor `datasets`.
+Blocks nest to any depth: the number of levels to unroll follows from one pass over the data, and every SEGMENT levels are written out
+before the next, so the plan stays bounded however deep a record is.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.common import staged
+from factloom.operators.common import materialized, staged
+
+#: Envelopes that are opened one inside the other, and levels of blocks unrolled in one plan.
+WRAPPED, SEGMENT = 3, 32
 
 _SUBARRAY = "array<struct<k:string,v:variant>>"
 
@@ -33,19 +38,31 @@ def _list(v: str, *marks: str) -> str:
     return f"coalesce(CASE WHEN {one} THEN array(named_struct('k', CAST(NULL AS STRING), 'v', {v})) ELSE coalesce(transform({_get(v, '$', 'array<variant>')}, x -> named_struct('k', CAST(NULL AS STRING), 'v', x)), {keyed}) END, array())"
 
 
-def brace_depth(df: DataFrame, payload: str) -> int:
-    """Greatest nesting of objects in the data, an upper bound of the levels of blocks."""
-    braces = F.filter(F.split(F.regexp_replace(F.col(payload), r"[^{}]", ""), ""), lambda c: c != "")
+def block_levels(df: DataFrame, payload: str) -> int:
+    """An upper bound of the levels of blocks below the first: no more than the word `children` occurs in a payload, nor than its braces nest."""
+    p = F.col(payload)
+    named = ((F.length(p) - F.length(F.replace(p, F.lit("children"), F.lit("")))) / len("children")).cast("int")
+    braces = F.filter(F.split(F.regexp_replace(p, r"[^{}]", ""), ""), lambda c: c != "")
     step = lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most"))
-    most = F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
-    return df.agg(F.max(most).alias("d")).first()["d"] or 0
+    nested = F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return df.agg(F.max(F.when(named > 4, F.least(named, nested)).otherwise(named)).alias("d")).first()["d"] or 0
+
+
+def unwrapped(df: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """(keep, _j): each readable payload as a VARIANT object, out of its envelope if it has one."""
+    j = df.select(*keep, F.expr(f"try_parse_json(`{payload}`)").alias("_j"))
+    for _ in range(WRAPPED):
+        inner = _opened(_get("_j", "$.result", "variant"))
+        bare = " AND ".join(f"{_get('_j', '$.' + part, 'variant')} IS NULL" for part in ("mirror", "datasets"))
+        j = staged(j, {"_j": F.expr(f"CASE WHEN {bare} AND {_get(inner, '$', 'map<string,variant>')} IS NOT NULL THEN {inner} ELSE _j END")})
+    return j.where(F.expr(_get("_j", "$", "map<string,variant>") + " IS NOT NULL"))
 
 
 def parsed(df: DataFrame, *, key: str = "artifact_id", document: str = "document_id", payload: str = "payload", levels: int | None = None) -> DataFrame:
     """One row per artifact with arrays of elements: pages, blocks, edges, datasets, rows, items; each element carries its ancestors' keys and indices."""
     if levels is None:
-        levels = max(1, brace_depth(df, payload) - 3)
-    j = df.select(F.col(key), F.col(document).alias("_doc"), F.expr(f"try_parse_json(`{payload}`)").alias("_j")).where(F.expr(_get("_j", "$", "map<string,variant>") + " IS NOT NULL"))
+        levels = max(1, block_levels(df, payload))
+    j = unwrapped(df.select(F.col(key), F.col(document).alias("_doc"), F.col(payload).alias("_payload")), "_payload", key, "_doc")
     j = staged(j, {
         "document_id": F.expr(f"coalesce({_get('_j', '$.mirror.document.document_id')}, _doc)"),
         "_pages": F.expr(_opened(_get("_j", "$.mirror.pages", "variant"))), "_edges": F.expr(_opened(_get("_j", "$.mirror.graph.edges", "variant"))), "_datasets": F.expr(_opened(_get("_j", "$.datasets", "variant"))),
@@ -62,6 +79,8 @@ def parsed(df: DataFrame, *, key: str = "artifact_id", document: str = "document
     })
     j = staged(j, {"items": F.expr(f"flatten(transform(transform(rows, r -> named_struct('id', r.id, 'dataset_idx', r.dataset_idx, 'row_idx', r.idx, 'x', {opened('r.v', '$.items')})), r -> transform({_list('r.x', 'id', 'note')}, (x, i) -> named_struct('dataset_idx', r.dataset_idx, 'row_idx', r.row_idx, 'parent_id', r.id, 'id', coalesce({_get('x.v', '$.id')}, x.k), 'idx', i, 'v', x.v))))")})
     for n in range(1, levels + 1):
+        if n % SEGMENT == 0:
+            j = materialized(j)
         up = f"_level{n - 1}"
         j = staged(j, {f"_level{n}": F.expr(f"flatten(transform(transform({up}, b -> named_struct('page_id', b.page_id, 'page_idx', b.page_idx, 'id', b.id, 'c', {opened('b.v', '$.children')})), b -> transform({_list('b.c', 'id', 'type', 'children')}, (c, i) -> named_struct('page_id', b.page_id, 'page_idx', b.page_idx, 'parent_id', b.id, 'id', coalesce({_get('c.v', '$.id')}, c.k), 'idx', i, 'level', {n}, 'v', c.v))))")})
     every = F.flatten(F.array(*[F.col(f"_level{n}") for n in range(levels + 1)]))
@@ -114,7 +133,7 @@ NODE_FIELDS = ("kind", "label", "value_preview", "raw_preview", "confidence", "r
 def graph_elements(df: DataFrame, *keys: str, payload: str = "payload") -> DataFrame:
     """(keys, elements): the graph of each readable payload as elements (part, a, b, idx, fields): nodes by id with NODE_FIELDS as text, edges
     by their ends, and the quality decision. Nodes without an id are left out."""
-    j = df.select(*keys, F.expr(f"try_parse_json(`{payload}`)").alias("_j")).where(F.expr(_get("_j", "$", "map<string,variant>") + " IS NOT NULL"))
+    j = unwrapped(df, payload, *keys)
     j = staged(j, {"_nodes": F.expr(_opened(_get("_j", "$.mirror.graph.nodes", "variant"))), "_edges": F.expr(_opened(_get("_j", "$.mirror.graph.edges", "variant"))), "_decision": F.expr(_get("_j", "$.mirror.graph.quality_decision.decision"))})
     fields = ", ".join(f"CAST({_get('x.v', '$.' + f, 'double')} AS STRING)" if f in ("confidence", "page") else _get("x.v", "$." + f) for f in NODE_FIELDS)
     nodes = f"filter(transform({_list('_nodes', 'id', 'kind')}, (x, i) -> named_struct('part', 'node', 'a', coalesce({_get('x.v', '$.id')}, x.k), 'b', '', 'idx', i, 'fields', array({fields}))), x -> x.a IS NOT NULL)"

@@ -115,14 +115,15 @@ def test_nested_layouts_give_the_same_links(spark):
     one = {"mirror": {"document": {"document_id": "D"}, "pages": [{"page_id": "p1", "blocks": [block]}], "graph": {"edges": [{"id": "e", "type": "contains", "from": "b1", "to": "b2"}, {"type": "continues", "from": "b2", "to": "b3"}]}}, "datasets": [{"id": "d", "rows": [{"record_id": "r", "items": [{"id": "i"}]}]}]}
     two = {"mirror": {"document": {"document_id": "D"}, "pages": {"p1": {"blocks": {"id": "b1", "children": [{"id": "b2", "children": [{"id": "b3", "children": None}]}]}}}, "graph": {"edges": {"id": "e", "type": "contains", "from": "b1", "to": "b2"}}}, "datasets": json.dumps([{"id": "d", "rows": {"r": {"items": {"id": "i"}}}}])}
     deep = {"id": "x0"}
-    for n in range(1, 30):
+    for n in range(1, 40):
         deep = {"id": f"x{n}", "children": [deep]}
     three = {"mirror": {"pages": {"page_id": "p", "blocks": deep}}, "datasets": None}
-    rows = [(1, "D", json.dumps(one)), (2, "D", json.dumps(two)), (3, "E", json.dumps(three)), (4, "F", json.dumps(one)[:-5]), (5, "F", ""), (6, "F", None), (7, "F", "null"), (8, "F", "[1]"), (1, "D", json.dumps(one))]
+    wrapped, twice = {"status": "ok", "result": one}, {"result": json.dumps({"result": two})}
+    rows = [(10, "D", json.dumps(wrapped)), (11, "D", json.dumps(twice)), (12, "D", json.dumps({"result": None})), (13, "D", json.dumps({"result": two, "datasets": []})), (1, "D", json.dumps(one)), (2, "D", json.dumps(two)), (3, "E", json.dumps(three)), (4, "F", json.dumps(one)[:-5]), (5, "F", ""), (6, "F", None), (7, "F", "null"), (8, "F", "[1]"), (1, "D", json.dumps(one))]
     df = spark.createDataFrame(rows, "artifact_id bigint, document_id string, payload string").withColumns({"pages": F.lit("clash"), "idx": F.lit(0)})
     got = nested.links(nested.parsed(df)).collect()
     of = lambda n: {tuple(r)[1:] for r in got if r["artifact_id"] == n}
-    assert of(1) == of(2) == {("page", "D", "p1"), ("block", "p1", "b1"), ("block", "b1", "b2"), ("block", "b2", "b3"), ("contains", "b1", "b2"), ("dataset", "D", "d"), ("row", "d", "r"), ("item", "r", "i")}
-    assert len(of(3)) == 31 and ("page", "E", "p") in of(3) and ("block", "x1", "x0") in of(3)
-    assert {r["artifact_id"] for r in got} == {1, 2, 3} and len(got) == len({tuple(r) for r in got})
+    assert of(1) == of(2) == of(10) == of(11) == {("page", "D", "p1"), ("block", "p1", "b1"), ("block", "b1", "b2"), ("block", "b2", "b3"), ("contains", "b1", "b2"), ("dataset", "D", "d"), ("row", "d", "r"), ("item", "r", "i")}
+    assert len(of(3)) == 41 and ("page", "E", "p") in of(3) and ("block", "x1", "x0") in of(3)
+    assert {r["artifact_id"] for r in got} == {1, 2, 3, 10, 11} and len(got) == len({tuple(r) for r in got})
     assert nested.links(nested.parsed(df.limit(0))).count() == 0
