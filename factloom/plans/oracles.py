@@ -14,7 +14,9 @@ def _elements(x: str, *marks: str) -> str:
     return f"unnest(CASE json_type({x}) WHEN 'ARRAY' THEN [{{'k': NULL::VARCHAR, 'v': e}} FOR e IN json_extract({x}, '$[*]')] WHEN 'OBJECT' THEN CASE WHEN {one} THEN [{{'k': NULL::VARCHAR, 'v': {x}}}] ELSE [{{'k': q, 'v': json_extract({x}, '$.\"' || q || '\"')}} FOR q IN json_keys({x})] END ELSE [] END)"
 
 
-P2 = f"""WITH RECURSIVE j AS (SELECT artifact_id, payload::JSON AS p, coalesce(payload::JSON ->> '$.mirror.document.document_id', document_id) AS doc FROM mirror_artifacts WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+P2 = f"""WITH RECURSIVE w AS (SELECT artifact_id, document_id, payload::JSON AS p FROM mirror_artifacts WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+j0 AS (SELECT artifact_id, document_id, CASE WHEN (p -> '$.mirror') IS NULL AND (p -> '$.datasets') IS NULL AND json_type(p -> '$.result') = 'OBJECT' THEN (p -> '$.result') ELSE p END AS p FROM w),
+j AS (SELECT artifact_id, p, coalesce(p ->> '$.mirror.document.document_id', document_id) AS doc FROM j0),
 a AS (SELECT artifact_id, doc, {_opened("(p -> '$.mirror.pages')")} AS pages, {_opened("(p -> '$.mirror.graph.edges')")} AS edges, {_opened("(p -> '$.datasets')")} AS sets FROM j),
 pg AS (SELECT artifact_id, doc, coalesce(e.v ->> '$.page_id', e.k) AS id, {_opened("(e.v -> '$.blocks')")} AS x FROM (SELECT artifact_id, doc, {_elements("pages", "page_id", "page_number", "blocks")} AS e FROM a)),
 bl AS (SELECT artifact_id, id AS parent, coalesce(e.v ->> '$.id', e.k) AS id, {_opened("(e.v -> '$.children')")} AS x FROM (SELECT artifact_id, id, {_elements("x", "id", "type", "children")} AS e FROM pg)
