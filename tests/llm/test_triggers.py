@@ -1,4 +1,4 @@
-"""Every branch of every detector pattern gives texts that pass the trigger words."""
+"""Every branch of every detector pattern gives texts at which the linear-time form of the pattern stops too."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import re
 from re import _constants as c
 from re import _parser as parser
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from factloom.llm import residue
@@ -42,7 +44,7 @@ def _each(items, groups):
 def _of_set(arg):
     for op, x in arg:
         if op is c.NEGATE:
-            return "q"
+            return "q" if any(k is c.CATEGORY for k, _ in arg) else " "
         if op is c.LITERAL:
             return chr(x)
         if op is c.RANGE:
@@ -54,10 +56,23 @@ PATTERNS = [p for ps in residue.KINDS.values() for p in ps]
 
 
 @pytest.mark.parametrize("n", range(len(PATTERNS)))
-def test_examples_of_a_pattern_pass(n):
-    detect, p = residue.Detector(), re.compile(PATTERNS[n])
-    texts = [t for x in _each(parser.parse(PATTERNS[n]), {}) for t in (x, f"({x})", f"so: {x};") if p.search(t)]
-    assert texts and [t for t in texts if not detect.worth(t)] == []
+def test_linear_form_stops_at_every_example(n):
+    p = re.compile(residue._anchored(PATTERNS[n]))
+    texts = [t for x in _each(parser.parse(PATTERNS[n]), {}) for t in (x, f"({x})", f"so: {x};", f"So held. {x}", f"\u2003{x}\u2003") if p.search(t)]
+    stop = pc.match_substring_regex(pa.array(texts), residue.linear(PATTERNS[n].removeprefix("(?i)")), ignore_case=PATTERNS[n].startswith("(?i)")).to_pylist()
+    assert texts and [t for t, s in zip(texts, stop) if not s] == []
+
+
+def test_repetition_is_measured():
+    assert [residue.period(t.split()) for t in ("a b a b a", "a a", "a b", "a b c a b", "a", "")] == [2, 1, 2, 5, 1, 0]
+    assert residue.units("Paragraph 1. Soon.\n\nParagraph 2. Soon.\nOnce", False) == ([("Paragraph 9. Soon.", True)], False)
+    assert residue.units("no no no no no no", True) == ([("no", True)], True) and residue.units("- - - - - - -", False) == ([("-", True)], False)
+
+
+def test_slug_is_compared_with_title_and_body():
+    title, body = "Court\nHB 2019/12\n", "x" * 200 + "\nas held in hb-2019/12"
+    assert [residue.compared("HB 2019/12", t) for t in (title, title + body, body, "HB 2019/123", "")] == [(True, False), (True, True), (False, True), (False, False), (False, False)]
+    assert residue.compared(None, title) == residue.compared(" - ", title) == (False, False)
 
 
 @pytest.mark.parametrize("text", ["Aliquam ornare velit porta nibh eget quisque", "[ enter the date ]", "[ name of party]", "signed on DD/MM/YY", "value NULL", "NULL", "(NaN)", "sum; NaN;", "foo-bar-baz", "(gone, request 7)"])
