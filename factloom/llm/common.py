@@ -16,7 +16,7 @@ TASK_BYTES = 1 << 19
 def tasks(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Number of tasks by the planner's estimate of the input's size, at least two for each core."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(size // task_bytes, 200_000))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, size // task_bytes)
 
 
 def spread(df: DataFrame, key: str, task_bytes: int = TASK_BYTES) -> DataFrame:

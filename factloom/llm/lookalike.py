@@ -93,19 +93,17 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if not self.any or text.isascii():
             return text.strip()
-        for _ in range(8):
+        seen: list[str] = []
+        while text not in seen:  # until nothing changes; should forms go round in a circle, its smallest stands for them
+            seen.append(text)
             out, at = [], 0
             for end, (size, to) in self.auto.iter_long(text):
                 out += [text[at : end + 1 - size], to]
                 at = end + 1
             if not out:
                 break
-            out.append(text[at:])
-            new = "".join(out)
-            if new == text:
-                break
-            text = new
-        return text.strip()
+            text = "".join([*out, text[at:]])
+        return min(seen[seen.index(text) :]).strip()
 
 
 def counted(texts: list[str]) -> Counter:
@@ -155,9 +153,14 @@ def consistent(df: DataFrame, text: str, table: dict[str, str], to: str = "clean
 
 def same_look(df: DataFrame, key: str, group: list[str], raw: str, clean: str = "clean") -> DataFrame:
     """(left_id, right_id): rows of one group whose consistent forms are equal and whose characters aren't. Rows with a null group, key
-    or text pair with nothing. An equi-join on the group and the form's digest; copies of one text never meet each other in the result."""
+    or text pair with nothing. Only forms that occur in different characters go on; of each, the different character sequences are paired,
+    not their copies, and the pairs are then given out to the rows, so the work is bounded by the texts and the result."""
     digest = lambda c: F.md5(F.encode(c, "utf-8"))
-    base = df.where(F.length(clean) > 0).select(key, *group, digest(F.col(clean)).alias("_form"), digest(F.col(raw)).alias("_raw"))
-    left = base.withColumnRenamed(key, "left_id").withColumnRenamed("_raw", "_l")
-    right = base.withColumnRenamed(key, "right_id").withColumnRenamed("_raw", "_r")
-    return left.join(right, [*group, "_form"]).where("left_id < right_id AND _l != _r").select("left_id", "right_id")
+    base = df.where((F.length(clean) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], digest(F.col(clean)).alias("_form"), digest(F.col(raw)).alias("_raw"))
+    at = [*[f"_g{i}" for i in range(len(group))], "_form"]
+    several = base.groupBy(*at).agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).where("_a != _b").select(*at)
+    base = base.join(several, at, "left_semi")
+    classes = base.select(*at, "_raw").distinct()
+    pairs = classes.withColumnRenamed("_raw", "_l").join(classes.withColumnRenamed("_raw", "_r"), at).where("_l != _r")
+    left = pairs.join(base.select(*at, F.col("_raw").alias("_l"), F.col("_id").alias("left_id")), [*at, "_l"])
+    return left.join(base.select(*at, F.col("_raw").alias("_r"), F.col("_id").alias("right_id")), [*at, "_r"]).where("left_id < right_id").select("left_id", "right_id")

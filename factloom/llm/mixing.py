@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from factloom.llm import common
 from factloom.operators.common import materialized
 
-#: Budget, in multiples of the longest document, that is left to dynamic programming.
-FIT_LENGTHS = 4
+#: Budget that is left to dynamic programming: so many of the longest documents, but no more than so many tokens. It bounds the bit sets, one of a
+#: bit a token for each step; what lies above is filled with the longest documents that fit.
+FIT_LENGTHS, FIT_TOKENS = 4, 1 << 16
+#: Parts of a group of equal length that are counted before any document is ranked; must be a power of two.
+PARTS = 1024
 
 
 def subset(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -48,7 +51,7 @@ def fitted(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return list(counts)
     out = [b * budget // total for b in counts]
     left = budget - sum(a * b for a, b in zip(lengths, out))
-    most = FIT_LENGTHS * max(lengths)
+    most = min(FIT_LENGTHS * max(lengths), FIT_TOKENS)
     for k in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         if left > most and lengths[k]:
             more = min(counts[k] - out[k], (left - most) // lengths[k] + 1, left // lengths[k])
@@ -85,23 +88,35 @@ def _usable(sizes: DataFrame, key: str, source: str, size: str) -> DataFrame:
     return materialized(sizes.where(F.col(source).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("bigint").alias("_size")))
 
 
+def _chosen(usable: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """usable with `repeats`: of each length the planned number of documents is taken once more, those whose seeded hash is smallest.
+
+    Hashes fall into parts; parts are counted and taken whole up to the one in which the number is reached, and only that part is ranked, so
+    a length that holds a large share of all documents is not ordered in one task."""
+    at = ["_source", "_size"]
+    rows = usable.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_key"))).withColumn("_part", F.pmod("_hash", F.lit(PARTS)))
+    counts = rows.groupBy(*at, "_part").agg(F.count("*").alias("_n")).join(plan.drop("n"), at)
+    upto = F.sum("_n").over(Window.partitionBy(*at).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_take", F.least(F.greatest(F.col("extra") - (upto - F.col("_n")), F.lit(0)), F.col("_n")))
+    rows = rows.join(counts, [*at, "_part"])
+    cut = (F.col("_take") > 0) & (F.col("_take") < F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(*at, "_part").orderBy("_hash", "_key"))
+    some = rows.where(cut).withColumn("_more", (rank <= F.col("_take")).cast("int"))
+    rows = rows.where(~cut).withColumn("_more", (F.col("_take") > 0).cast("int")).unionByName(some)
+    return rows.withColumn("repeats", (F.col("whole") + F.col("_more")).cast("int")).where("repeats > 0").select("_key", *at, "repeats")
+
+
 def mixed(sizes: DataFrame, targets: DataFrame, *, key: str, source: str, size: str, seed: int = 7) -> DataFrame:
     """(key, source, size, repeats): the chosen documents; repeats is never above the source's allowed number."""
     usable = _usable(sizes, key, source, size)
-    plan = _plan(usable, targets, "_source", "_size")
-    order = Window.partitionBy("_source", "_size").orderBy(F.xxhash64(F.lit(seed), F.col("_key")), "_key")
-    rows = usable.withColumn("_at", F.row_number().over(order)).join(plan, ["_source", "_size"])
-    rows = rows.withColumn("repeats", (F.col("whole") + (F.col("_at") <= F.col("extra")).cast("int")).cast("int"))
-    return rows.where("repeats > 0").select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias(size), "repeats")
-
-
-def shares(sizes: DataFrame, targets: DataFrame, *, key: str, source: str, size: str) -> DataFrame:
-    """(source, target_share, actual_share, tokens, documents, most_repeats): what the mixture holds of each source."""
-    plan = _plan(_usable(sizes, key, source, size), targets, "_source", "_size")
-    per = plan.groupBy(F.col("_source").alias(source)).agg(
-        F.sum(F.col("_size") * (F.col("n") * F.col("whole") + F.col("extra"))).alias("tokens"),
-        F.sum(F.when(F.col("whole") > 0, F.col("n")).otherwise(F.col("extra"))).alias("documents"),
-        F.max(F.col("whole") + (F.col("extra") > 0).cast("int")).alias("most_repeats"),
-    )
+    rows = _chosen(usable, _plan(usable, targets, "_source", "_size"), seed)
+    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias(size), "repeats")
+
+
+def shares(sizes: DataFrame, targets: DataFrame, *, key: str, source: str, size: str, seed: int = 7) -> DataFrame:
+    """(source, target_share, actual_share, tokens, documents, most_repeats): what the chosen documents hold of each source."""
+    usable = _usable(sizes, key, source, size)
+    rows = _chosen(usable, _plan(usable, targets, "_source", "_size"), seed)
+    per = rows.groupBy(F.col("_source").alias(source)).agg(F.sum(F.col("_size") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     goal = targets.select(F.col("source").alias(source), "target_share")
     return goal.join(per, source, "left").withColumn("actual_share", F.coalesce(F.col("tokens"), F.lit(0)) / F.sum("tokens").over(Window.partitionBy(F.lit(1)))).select(source, "target_share", "actual_share", "tokens", "documents", "most_repeats")

@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with items of varying length.
 
 Hierarchical residual packing: items fall into groups by a hash of their id; each group is packed by best fit, longest first; nearly
-full bins are done, the others go on as items of the next round, in fewer groups, until one group is left or a round no longer helps.
+full bins are done, the others go on as items of the next round, in fewer groups, until one group is left or a round saves less than the share
+`worth` of its bins (0 goes on until nothing is saved). Every item is placed whichever round is the last.
 Items above the capacity, and only those, are split into full parts and a rest. Items of size 0 fit anywhere; items whose size or id is
 null are left out. Groups are sized by a count, so that no task holds more than a bounded number of items; nothing is collected.
 """
@@ -97,7 +98,7 @@ def _round(items: DataFrame, groups: int, capacity: int, number: int) -> DataFra
     return grouped.applyInPandas(run, "item string, size bigint, bin string, fill bigint")
 
 
-def packed(df: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
+def packed(df: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS, worth: float = WORTH) -> DataFrame:
     """(key, part, tokens, container): where each item, or each part of an item above the capacity, lies. part counts from 0."""
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.col(size) - 1) / capacity), F.lit(0)).cast("int")), lambda i: F.struct(i.alias("part"), F.least(F.lit(capacity).cast("long"), F.col(size) - i * F.lit(capacity)).alias("tokens")))
     base = df.where(F.col(size).isNotNull() & F.col(key).isNotNull()).select(key, F.inline(parts)).withColumn("item", F.concat_ws("/", F.col(key).cast("string"), "part"))
@@ -105,16 +106,20 @@ def packed(df: DataFrame, key: str, size: str, capacity: int, group_items: int =
     n = base.count()
     groups = max(1, -(-n // group_items))
     placed = materialized(_round(base.select("item", F.col("tokens").alias("size")), groups, capacity, 0))
-    moves, bins = placed.select("item", "bin"), placed
-    for number in range(1, 12):
+    bins, parents, number = placed, None, 0
+    while groups > 1:
         low = bins.where(F.col("fill") < FULL * capacity).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("size"))
-        left = low.count() if groups > 1 else 0
+        left = low.count()
         if left == 0:
             break
-        groups = max(-(-left // group_items), groups // FAN_IN, 1)
+        number, groups = number + 1, max(-(-left // group_items), groups // FAN_IN, 1)
         bins = materialized(_round(low, groups, capacity, number))
-        into = bins.select(F.col("item").alias("bin"), F.col("bin").alias("_to"))
-        moves = moves.join(into, "bin", "left").select("item", F.coalesce("_to", "bin").alias("bin"))
-        if bins.select("bin").distinct().count() > left * (1 - WORTH):
+        into = bins.select(F.col("item").alias("_was"), F.col("bin").alias("_to"))
+        # the first round's bins and where they lie now: bins, not items, are joined in each round
+        parents = materialized(into if parents is None else parents.withColumnRenamed("_to", "_at").join(into.withColumnRenamed("_was", "_at"), "_at", "left").select("_was", F.coalesce("_to", "_at").alias("_to")))
+        if bins.select("bin").distinct().count() > left * (1 - worth):
             break
+    moves = placed.select("item", "bin")
+    if parents is not None:
+        moves = moves.join(parents, F.col("bin") == F.col("_was"), "left").select("item", F.coalesce("_to", "bin").alias("bin"))
     return base.join(moves.withColumnRenamed("bin", "container"), "item").select(key, "part", "tokens", "container")

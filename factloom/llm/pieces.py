@@ -9,6 +9,7 @@ without their overlaps the pieces give the text again, character by character. N
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,8 @@ _END = re.compile(rf"(?:[.!?…]+{_CLOSE}(?=\s|$)|[。！？…．]+{_CLOSE})")
 _ABBREVIATION = re.compile(r"(?:^|[\s(\[\"'“„«])([\p{L}][\p{L}.]*)\.$")
 _INITIAL = re.compile(r"(?:^|[\s(.])\p{Lu}\.$")
 _KNOWN = frozenset(ABBREVIATIONS)
+#: Characters before a stop in which an abbreviation is looked for; a longer word is none of the known ones.
+_BACK = 2 * max(map(len, ABBREVIATIONS)) + 4
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -33,13 +36,14 @@ def sentence_ends(text: str) -> list[int]:
     out, line_at = [], 0
     for line in text.splitlines(keepends=True) if "\n" in text else [text]:
         body = line.rstrip("\n")
+        full = len(body.rstrip())
         for m in _END.finditer(body):
             end = m.end()
             if m.group()[0] == "." and len(m.group().rstrip("\"'”’»›)]}）」』】》")) == 1:
-                before, after = body[max(0, m.start() - 24) : m.start() + 1], body[end : end + 3].lstrip()
+                before, after = body[max(0, m.start() - _BACK) : m.start() + 1], body[end : end + 3].lstrip()
                 a = _ABBREVIATION.search(before)
                 short = m.group() == "." and ((a and a.group(1).lower() in _KNOWN) or _INITIAL.search(before))
-                if end < len(body.rstrip()) and (short or after[:1].islower()):
+                if end < full and (short or after[:1].islower()):
                     continue
             out.append(line_at + end)
         line_at += len(line)
@@ -69,44 +73,47 @@ def _cuts(text: str, level: int) -> list[int]:
     return [m.end() for m in re.finditer(r"\s+", text)]
 
 
-def atoms(text: str, limit: int, level: int = 0) -> list[str]:
-    """Parts of a text within the limit, cut at the coarsest separators that give such parts."""
+SENTENCE, CHARACTER = 3, 5
+
+
+def atoms(text: str, limit: int, level: int = 0, at: int = 0) -> list[tuple[int, int]]:
+    """(end, level) of the parts of a text within the limit, in order, cut at the coarsest separators that give such parts. level is that of the cut:
+    0 section, 1 paragraph, 2 line, SENTENCE, 4 word, CHARACTER."""
     if len(text) <= limit:
-        return [text] if text else []
-    if level > 4:
-        return [text[i : i + limit] for i in range(0, len(text), limit)]
-    out, at = [], 0
+        return [(at + len(text), max(0, level - 1))] if text else []
+    if level >= CHARACTER:
+        return [(at + min(i + limit, len(text)), CHARACTER) for i in range(0, len(text), limit)]
+    out, begin = [], 0
     for end in [*_cuts(text, level), len(text)]:
-        if end > at:
-            out += atoms(text[at:end], limit, level + 1)
-            at = end
+        if end > begin:
+            out += atoms(text[begin:end], limit, level + 1, at + begin)
+            begin = end
     return out
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(begin, end, overlap) of each piece: piece k is text[begin:end], of which the first `overlap` characters repeat the one before.
 
-    Atoms are at most limit - overlap characters, so that every piece has room for the whole overlap."""
+    Atoms are at most limit - overlap characters, so that every piece has room for the whole overlap. The time grows with the text's length only."""
     if not text:
         return []
     if len(text) <= limit:
         return [(0, len(text), 0)]
-    parts = atoms(text, max(1, limit - overlap))
-    ends, at = [], 0
-    for p in parts:
-        at += len(p)
-        ends.append(at)
+    ends = [e for e, _ in atoms(text, max(1, limit - overlap))]
     out, begin, fresh, k = [], 0, 0, 0
-    while k < len(parts):
+    while k < len(ends):
         end = fresh
-        while k < len(parts) and ends[k] - begin <= limit:
+        while k < len(ends) and ends[k] - begin <= limit:
             end = ends[k]
             k += 1
         out.append((begin, end, fresh - begin))
         fresh = end
-        inside = [e for e in [0, *ends] if end - overlap <= e < end] if overlap else []
-        begin = inside[0] if inside and end - inside[0] >= overlap // 2 else max(0, end - overlap)
-        if begin == end - overlap and overlap and not inside:
+        if not overlap:
+            begin = end
+            continue
+        first = 0 if end <= overlap else ends[bisect_left(ends, end - overlap)]  # the first boundary within the overlap, or the end itself
+        begin = first if first < end and end - first >= overlap // 2 else max(0, end - overlap)
+        if begin == end - overlap and first >= end:
             space = text.find(" ", begin, end)
             begin = space + 1 if 0 <= space < end - 1 else begin
     return out
@@ -125,14 +132,19 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = 1800, overlap: int =
     return df.where(F.length(text) > 0).select(key, text).mapInPandas(run, f"`{key}` {types[key]}, piece_no int, begin_at bigint, overlap_chars bigint, piece string")
 
 
+def below_sentences(paragraph: str, limit: int) -> bool:
+    """Whether the hierarchy has to cut below the level of sentences, and does so within a sentence that is too long without its surrounding blanks."""
+    return len(paragraph) > limit and any(level > SENTENCE for _, level in atoms(paragraph, limit)) and longest_sentence(paragraph) > limit
+
+
 def unsplittable(df: DataFrame, key: str, text: str, limit: int = 1800) -> DataFrame:
-    """(key, para_no): paragraphs that hold a sentence over the limit, which the hierarchy can cut between words only."""
+    """(key, para_no): paragraphs in which the hierarchy of separators has to cut below the level of sentences."""
     common.by_value(sys.modules[__name__])
-    longest, types = longest_sentence, dict(df.dtypes)
+    below, types = below_sentences, dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, n) for k, t in zip(pdf[key], pdf[text]) for n, p in enumerate(t.split("\n\n"), 1) if len(p) > limit and longest(p) > limit]
+            rows = [(k, n) for k, t in zip(pdf[key], pdf[text]) for n, p in enumerate(t.split("\n\n"), 1) if below(p, limit)]
             yield pd.DataFrame(rows, columns=[key, "para_no"])
 
-    return df.where(F.length(text) > 0).select(key, text).mapInPandas(run, f"`{key}` {types[key]}, para_no int")
+    return df.where(F.length(text) > 0).select(key, text).mapInPandas(run, f"`{key}` {types[key]}, para_no bigint")

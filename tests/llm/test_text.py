@@ -111,6 +111,19 @@ def test_lookalikes(spark):
 # --- scanned text
 
 
+def test_rewriting_ends_without_a_cap():
+    assert lookalike.Rewriter({"ﬃ": "ﬀi", "ﬀ": "ff"})("oﬃce") == "office"
+    assert lookalike.Rewriter({"ä": "ö", "ö": "ä"})("xä") == "xä"
+    chain = {chr(0x400 + i): chr(0x401 + i) for i in range(20)}
+    assert lookalike.Rewriter(chain)("Ѐ") == chr(0x400 + 20)
+
+
+def test_copies_are_not_paired_with_each_other(spark):
+    rows = [(i, 1, "ab", "ab") for i in range(3000)] + [(9000, 1, "аb", "ab"), (9001, 2, "ab", "ab")]
+    df = spark.createDataFrame(rows, "id bigint, left_id bigint, text string, clean string")
+    assert {tuple(r) for r in lookalike.same_look(df, "id", ["left_id"], "text").collect()} == {(i, 9000) for i in range(3000)}
+
+
 def test_scanned(spark):
     head = "WEXLEY DISTRICT COURT - CV 2023/00000553"
     body = "the respondent maintained that the arrangement was unfair and the learned tribunal agreed with counsel"
@@ -147,6 +160,17 @@ def test_pieces_round_trip(spark):
     assert pieces.pieces(df, "id", "text", 200, 40).select("id").distinct().count() == len([t for t in texts if t])
 
 
+def test_splitting_time_grows_with_the_length_only():
+    import time
+
+    took = []
+    for n in (250_000, 2_000_000):
+        text, began = "some words of a text. " * (n // 22), time.process_time()
+        assert len(pieces.split(text, 1800, 200)) >= n // 1800
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]  # eight times the text
+
+
 def test_sentences(spark):
     assert [len(x) for x in (pieces.sentence_ends("See Smith v. Jones, No. 5 of para. 3. Next one."), pieces.sentence_ends('He said "no." Then left… Yes?'), pieces.sentence_ends("合同。责任！"), pieces.sentence_ends("line\nline"))] == [2, 3, 2, 2]
     long = "word " * 400
