@@ -1,7 +1,8 @@
 """Text of scanned pages: running heads and page numbers out, split words joined, misread characters repaired.
 
 Heads are found by fuzzy repetition of lines at page edges: a line's skeleton (letters that scans confuse folded together, digits
-masked) that recurs at the edges of one document's pages or of the corpus's pages and hardly ever within pages. Page numbers are
+masked) that recurs, or comes within an edit distance of FUZZY of the most repeated one of its edge, on several pages of one document, or at
+the edges of the corpus's pages, and hardly ever within pages. Page numbers are
 edge lines of a number form whose value follows the pages' sequence. Line ends are joined by the corpus vocabulary: a hyphen goes if
 the joined word is commoner than the hyphenated one. A word is misread if a much commoner word of the corpus has the same skeleton
 and turns into it by known confusions. Counts run over all texts. Null and empty texts have no lines to report.
@@ -28,6 +29,8 @@ _TAIL = r"([\p{L}\d!][\p{L}\d!'’-]*)[-‐‑¬\x{AD}]\s*$"
 _HEAD = r"^\s*([\p{L}\d!][\p{L}\d!'’-]*)"
 #: A repair must be this many times as common as what it replaces; one with a digit or mark inside only has to occur.
 COMMONER = 15
+#: Edit distance up to which a line counts as the document's head, as a share of the head's length; lines shorter than SHAPE are too common to be heads.
+FUZZY, SHAPE = 0.15, 7
 
 
 def skeleton(word: Column) -> Column:
@@ -69,13 +72,19 @@ def pages_of(text: str, pages: str) -> Column:
 
 
 def page_lines(df: DataFrame, keys: list[str], pages: str) -> DataFrame:
-    """(keys, line_no, line, page, top, bottom, leading): lines of page texts with their page and their place among its lines that aren't
-    blank, counted from either edge; leading marks the lines before a page's first blank one."""
-    base = df.select(*keys, F.posexplode(pages).alias("page", "_t")).select(*keys, "page", F.posexplode(F.split("_t", "\n")).alias("_pos", "line"))
-    full = F.length(F.trim("line")) > 0
-    page, before = Window.partitionBy(*keys, "page"), Window.partitionBy(*keys, "page").orderBy("_pos")
-    rows = base.withColumns({"line_no": F.row_number().over(Window.partitionBy(*keys).orderBy("page", "_pos")), "top": F.sum(full.cast("int")).over(before), "_all": F.sum(full.cast("int")).over(page), "_blank": F.sum((~full).cast("int")).over(before)})
-    return rows.select(*keys, "line_no", "line", "page", F.when(full, F.col("top")).alias("top"), F.when(full, F.col("_all") - F.col("top") + 1).alias("bottom"), (F.col("_blank") == 0).alias("leading"))
+    """(keys, line_no, line, page, top, bottom, leading, shape): the lines of page texts that aren't blank, with their page and their place among
+    its lines that aren't, counted from either edge; leading marks the lines before a page's first blank one; shape is the line's skeleton at the
+    edges and its digest elsewhere. Places are counted within each page's array, so nothing is shuffled."""
+    ended = F.transform(F.col(pages), lambda t: F.size(F.split(t, "\n")))
+    starts = F.aggregate(ended, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    base = df.select(*keys, starts.alias("_starts"), F.posexplode(pages).alias("page", "_t")).select(*keys, "page", F.col("_starts")[F.col("page")].alias("_start"), F.split("_t", "\n").alias("_lines"))
+    full = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: F.length(F.trim(x["line"])) > 0)
+    base = base.select(*keys, "page", "_start", F.array_position(F.transform("_lines", lambda x: F.length(F.trim(x)) == 0), True).alias("_blank"), full.alias("_full"))
+    rows = base.select(*keys, "page", "_start", "_blank", F.size("_full").alias("_all"), F.posexplode("_full").alias("_pos", "_x"))
+    rows = rows.select(*keys, (F.col("_start") + F.col("_x.i") + 1).cast("int").alias("line_no"), F.col("_x.line").alias("line"), "page", (F.col("_pos") + 1).alias("top"), (F.col("_all") - F.col("_pos")).alias("bottom"), ((F.col("_blank") == 0) | (F.col("_x.i") + 1 < F.col("_blank"))).alias("leading"))
+    shape = F.regexp_replace(skeleton(F.regexp_replace(F.regexp_replace(F.trim("line"), r"\d+", "#"), r"\b\p{Lu}{1,3}\.? #", "#")), r"\s+", " ")
+    rows = rows.select("*", shape.alias("shape"))
+    return rows.withColumns({"long": F.length("shape") >= SHAPE, "shape": F.when((F.col("top") <= 4) | (F.col("bottom") <= 3), F.col("shape")), "digest": F.xxhash64("shape")})
 
 
 _NUMBER = r"^[\s\[(–—-]*(?:(?:pagc|page|seite|scite|s|p|pp|pag|pág|página|blatt|nr|no)\b[\s.]*)?([0-9lIOoSB]{1,4}|[ivxlc]{1,6})(?:\s*(?:/|of|0f|von|de|sur)\s*[0-9lIOoSB]{1,4})?[\s\])–—-]*$"
@@ -98,30 +107,34 @@ def _edge_numbers(edges: DataFrame, keys: list[str]) -> DataFrame:
     return found.join(best, keys).where(F.col("_offset") == F.col("_best.o")).select(*keys, "line_no", F.lit("page_number").alias("kind"))
 
 
+def _close(shape: Column, head: Column) -> Column:
+    """Whether a skeleton is the head's, or comes within the edit distance FUZZY of it."""
+    return F.coalesce((shape == head) | ((F.length(head) >= SHAPE) & (F.levenshtein(shape, head) <= F.length(head) * FUZZY)), F.lit(False))
+
+
 def furniture(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_no, kind): running heads and page numbers among page_lines."""
-    shape = F.regexp_replace(skeleton(F.regexp_replace(F.regexp_replace(F.trim("line"), r"\d+", "#"), r"\b\p{Lu}{1,3}\.? #", "#")), r"\s+", " ")
     edge = (F.col("top") <= 3) | (F.col("bottom") <= 3)
-    rows = rows.where(F.col("top").isNotNull())
-    numbers = _edge_numbers(rows.where(edge), keys)
-    shaped = rows.withColumns({"_shape": shape, "_edge": edge}).where((F.length("line") < 110) & (F.length("_shape") > 6))
-    corpus = shaped.groupBy("_shape").agg(F.sum(F.col("_edge").cast("long")).alias("_at_edge"), F.count("*").alias("_all"))
-    own = shaped.where("_edge").join(numbers.withColumnRenamed("kind", "_k"), [*keys, "line_no"], "left_anti").join(corpus, "_shape")
+    slim = rows.select(*keys, "line_no", "page", "top", "bottom", "leading", "shape", "long", "digest", F.when(edge | (F.col("top") <= 4), F.col("line")).alias("line"))
+    numbers = _edge_numbers(slim.where(edge), keys).distinct()
+    near = slim.where(edge | (F.col("top") <= 4)).join(numbers.select(*keys, "line_no", F.lit(True).alias("_number")), [*keys, "line_no"], "left").where("_number IS NULL")
+    corpus = rows.where("long").groupBy("digest").agg(F.count_if(edge).alias("_at_edge"), F.count("*").alias("_all")).where("_at_edge > 0")
     # the caption is the last of the first page's leading lines; lines before it are furniture
-    lead = rows.where((F.col("page") == 0) & F.col("leading") & (F.col("top") <= 4)).join(numbers.withColumnRenamed("kind", "_k"), [*keys, "line_no"], "left_anti")
-    caption = lead.groupBy(*keys).agg(F.max(F.struct("line_no", shape.alias("_cshape"))).alias("_c"), F.count("*").alias("_lead"))
-    caption = caption.select(*keys, F.col("_c.line_no").alias("_cline"), F.col("_c._cshape").alias("_cshape"), "_lead")
-    seen = own.groupBy(*keys, "_shape").agg(F.countDistinct("page").alias("_pages"))
-    own = own.join(seen, [*keys, "_shape"]).join(caption, keys, "left")
+    lead = near.where((F.col("page") == 0) & F.col("leading") & (F.col("top") <= 4))
+    caption = lead.groupBy(*keys).agg(F.max(F.struct("line_no", "shape")).alias("_c")).select(*keys, F.col("_c.line_no").alias("_cline"), F.col("_c.shape").alias("_cshape"))
+    own = near.where(edge & F.col("long")).withColumn("side", F.when(F.col("top") <= 3, "top").otherwise("bottom"))
+    # the skeleton that stands on most pages of a document, at either edge
+    seen = own.groupBy(*keys, "side", "shape").agg(F.count_distinct("page").alias("_pages"))
+    heads = seen.groupBy(*keys, "side").agg(F.max(F.struct("_pages", F.col("shape").alias("h"))).alias("_h")).where("_h._pages >= 2").select(*keys, "side", F.col("_h.h").alias("_head"))
+    own = own.join(seen, [*keys, "side", "shape"]).join(heads, [*keys, "side"], "left").join(caption, keys, "left").join(corpus, "digest")
     is_caption = (F.col("line_no") == F.col("_cline")) & (F.col("page") == 0)
     place = (F.col("top") <= 2) | (F.col("bottom") <= 2)
     open_end = ~F.trim("line").rlike(r"[.;,:]$")
     everywhere = (F.col("_at_edge") >= 2) & (F.col("_at_edge") >= 0.9 * F.col("_all")) & F.trim("line").rlike(r"\d")
-    repeated = (F.col("_pages") >= 2) | (F.coalesce(F.col("_shape") == F.col("_cshape"), F.lit(False)) & (F.col("page") > 0))
+    repeated = (F.col("_pages") >= 2) | _close(F.col("shape"), F.col("_head")) | (_close(F.col("shape"), F.col("_cshape")) & (F.col("page") > 0))
     inside = F.col("_all") - F.col("_at_edge") <= 0.1 * F.col("_all")
     head = place & open_end & (everywhere | (repeated & inside)) & ~F.coalesce(is_caption, F.lit(False))
-    heads = own.where(head).select(*keys, "line_no", F.lit("running_head").alias("kind")).distinct()
-    return heads.unionByName(numbers.distinct())
+    return own.where(head).select(*keys, "line_no", F.lit("running_head").alias("kind")).distinct().unionByName(numbers)
 
 
 def _ends(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,12 +193,12 @@ def repaired_parts(results: DataFrame, blocks: DataFrame) -> dict[str, DataFrame
     keys = ["row_id"]
     rows = materialized(page_lines(results, keys, "pages"))
     found = materialized(furniture(rows, keys))
-    body = rows.where("top IS NOT NULL").join(found.select(*keys, "line_no").distinct(), [*keys, "line_no"], "left_anti").select(*keys, "line_no", "line")
+    body = rows.join(found.select(*keys, "line_no").distinct(), [*keys, "line_no"], "left_anti").select(*keys, "line_no", "line")
     ends = _ends(body, keys).withColumn("src", F.lit("result")).unionByName(_ends(lines(blocks, keys, "text").where(F.length(F.trim("line")) > 0), keys).withColumn("src", F.lit("block")))
     ends, both = materialized(ends), ["src", *keys]
     words = _tokens(ends, both)
     vocab = materialized(vocabulary(words))
-    fixes = guarded_broadcast(materialized(repairs(vocab)), 200_000)
+    fixes = guarded_broadcast(materialized(repairs(vocab)))
     cuts = decided(ends, vocab, fixes, both)
     plain = words.withColumn("_low", F.lower("word")).join(fixes.withColumnRenamed("word", "_low"), "_low").select(*both, "line_no", "word", "right")
     # a misread split word: the line that holds the part which differs

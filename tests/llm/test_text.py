@@ -143,6 +143,16 @@ def test_scanned(spark):
     assert all(f.count() == 0 for f in empty.values())
 
 
+def test_heads_are_found_by_edit_distance(spark):
+    words = "alpha beta gamma delta kappa sigma lambda omega theta zeta".split()
+    body = lambda k: "\n".join(f"{words[(3 * k + i) % 10] * (i + 1)} {words[(k + i * i) % 10]} of {words[(7 * k + i) % 10] * (k + 1)} stood there" for i in range(6))
+    heads = ["REGISTER OF PLANNING DECISIONS", "REGISTER OF PLANNING DECISIONS", "REGIZTER OF PLANNING DECISIQNS", "LETTERS OF ADMINISTRATION ALTOGETHER"]
+    df = spark.createDataFrame([(1, [f"X Ltd v Y Ltd\n\n{body(0)}", *[f"{h}\n{body(k % 5)}" for k, h in enumerate(heads, 1)]])], "row_id bigint, pages array<string>")
+    rows = scanned.page_lines(df, ["row_id"], "pages")
+    assert [r["line_no"] for r in scanned.furniture(rows, ["row_id"]).where("kind = 'running_head'").orderBy("line_no").collect()] == [9, 16, 23]
+    assert {r["line_no"]: r["top"] for r in rows.collect()}[3] == 2
+
+
 # --- pieces
 
 
