@@ -119,45 +119,53 @@ def wall_seconds(wall: Column, zone: Column) -> Column:
 
 
 def estimate_zones(timed: DataFrame, source: str, group: Sequence[str], arrived: str, candidates: Sequence[str] = CANDIDATES) -> DataFrame:
-    """(source, zone, violations, evidence): per source the candidate zone whose offset history fits its wall times best.
-
-    Evidence is, first, the instants that other sources fix for the same item (`group`): a wall time that no candidate offset
-    aligns with one of them counts as a violation; second, the arrival: an instant after it counts as a violation of order.
-    Rows are counted per source, wall hour and offset before candidates are tried, so the work after the first aggregation
-    grows with hours of history and not with rows. Ties fall to the candidate listed first. Sources without wall times give no row.
+    """(source, zone, violations, evidence, offsets): per source the candidate zone whose offset history fits its wall times best, and the
+    history it fits by: each offset in minutes with the first and the last wall hour that it accounts for.
+
+    Evidence is, first, the instants that other sources fix for the same item (`group`), as far as they differ from the wall time by a whole
+    number of quarter hours and so may be the same event: one that the zone's offset at that time doesn't align counts as a violation; second,
+    the arrival: an instant after it counts as a violation of order. Rows are counted per source, wall hour and offset before candidates are
+    tried, so the work after the first aggregation grows with hours of history and not with rows. Ties fall to the candidate listed first.
+    Sources without wall times give no row.
     """
     walls = timed.where(F.col("_wall").isNotNull() & F.col("_named").isNull() & F.col(source).isNotNull())
     anchors = timed.where(F.col("_abs").isNotNull()).select(*group, F.col("_abs").alias("_anchor")).distinct()
-    near = F.abs(_seconds(F.col("_wall")) - F.col("_anchor")) <= 15 * 3600
-    minute = F.floor((_seconds(F.col("_wall")) - F.col("_anchor")) / 900).cast("int")
-    seen = walls.join(anchors, list(group)).where(near).select(source, F.date_trunc("hour", F.col("_wall")).cast("timestamp_ntz").alias("_hour"), minute.alias("_steps"))
+    apart = _seconds(F.col("_wall")) - F.col("_anchor")
+    near = (F.abs(apart) <= 15 * 3600) & (F.pmod(apart + 60, F.lit(900)) <= 120)
+    hour = F.date_trunc("hour", F.col("_wall")).cast("timestamp_ntz").alias("_hour")
+    seen = walls.join(anchors, list(group)).where(near).select(source, hour, F.round(apart / 900).cast("int").alias("_steps"))
     aligned = seen.groupBy(source, "_hour", "_steps").agg(F.count("*").alias("_n"))
-    late = walls.select(source, F.date_trunc("hour", F.col("_wall")).cast("timestamp_ntz").alias("_hour"), F.floor((_seconds(F.col("_wall")) - F.unix_seconds(F.col(arrived).cast("timestamp"))) / 900).alias("_steps"))
+    late = walls.select(source, hour, F.floor((_seconds(F.col("_wall")) - F.unix_seconds(F.col(arrived).cast("timestamp"))) / 900).alias("_steps"))
     late = late.where(F.abs(F.col("_steps")) <= 60).groupBy(source, "_hour", "_steps").agg(F.count("*").alias("_n"))
     evidence = aligned.withColumn("_kind", F.lit(0)).unionByName(late.withColumn("_kind", F.lit(1)).withColumn("_steps", F.col("_steps").cast("int")))
     tried = evidence.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])))
-    steps = F.floor((_seconds(F.col("_hour")) - F.coalesce(wall_seconds(F.col("_hour"), F.col("_c.z")), F.lit(0))) / 900)
-    bad = F.when(F.col("_kind") == 0, steps != F.col("_steps")).otherwise(F.col("_steps") > steps)
-    scored = tried.groupBy(source, "_c").agg(
-        F.sum(F.when((F.col("_kind") == 0) & bad, F.col("_n")).otherwise(0)).alias("violations"),
-        F.sum(F.when((F.col("_kind") == 1) & bad, F.col("_n")).otherwise(0)).alias("_late"),
-        F.sum(F.col("_n")).alias("evidence"),
-    )
-    best = scored.groupBy(source).agg(F.min(F.struct("violations", "_late", F.col("_c.i").alias("i"), F.col("_c.z").alias("zone"), "evidence")).alias("_b"))
-    return best.select(source, F.col("_b.zone").alias("zone"), F.col("_b.violations").alias("violations"), F.col("_b.evidence").alias("evidence"))
+    tried = tried.withColumn("_of_zone", F.floor((_seconds(F.col("_hour")) - F.coalesce(wall_seconds(F.col("_hour"), F.col("_c.z")), F.lit(0))) / 900))
+    bad = F.when(F.col("_kind") == 0, F.col("_of_zone") != F.col("_steps")).otherwise(F.col("_steps") > F.col("_of_zone"))
+    of_kind = lambda k: F.sum(F.when((F.col("_kind") == k) & bad, F.col("_n")).otherwise(0))
+    by_offset = tried.groupBy(source, "_c", "_of_zone").agg(of_kind(0).alias("_bad"), of_kind(1).alias("_late"), F.sum("_n").alias("_n"), F.min("_hour").alias("first_hour"), F.max("_hour").alias("last_hour"))
+    history = F.array_sort(F.collect_list(F.struct("first_hour", "last_hour", (F.col("_of_zone") * 15).cast("int").alias("minutes"))))
+    scored = by_offset.groupBy(source, "_c").agg(F.sum("_bad").alias("violations"), F.sum("_late").alias("_late"), F.sum("_n").alias("evidence"), history.alias("offsets"))
+    best = scored.groupBy(source).agg(F.min_by(F.struct(F.col("_c.z").alias("zone"), "violations", "evidence", "offsets"), F.struct("violations", "_late", "_c.i")).alias("_b"))
+    return best.select(source, "_b.*")
 
 
 def to_instants(df: DataFrame, sources: DataFrame, *, text: str = "value", source: str = "feed_id", zone: str = "tz_name", date_order: str = "date_order", key: str = "cell_id", group: Sequence[str] = ("record_id", "field_key"), arrived: str = "ingested_at", candidates: Sequence[str] = CANDIDATES) -> DataFrame:
     """(key, group, source, text, instant): the latest delivery of each row with its instant in seconds since 1970, or null.
 
-    Texts are read before the rows are shuffled by key, once for all that follows. Rows whose source is unknown keep what their
-    text alone fixes. Columns of df other than those named are left out.
+    Texts are read before the rows are shuffled by key, once for all that follows. Zones are estimated for the sources whose wall times have
+    neither a zone of their own nor a declared one, and only if there are such. Rows without a source keep what their text alone fixes.
+    Columns of df other than those named are left out.
     """
     side = sources.select(F.col(source).alias("_source"), F.col(zone).alias("_zone"), F.col(date_order).alias("_declared_order")).where(F.col(source).isNotNull()).dropDuplicates(["_source"])
     given = df.select(key, *group, source, text, arrived).join(guarded_broadcast(side), F.col(source) == F.col("_source"), "left")
     timed = materialized(latest(read_times(given, text, "_declared_order", "_zone"), key, arrived, *group, source, text, arrived, "_abs", "_wall", "_named", "_zone"))
-    found = estimate_zones(timed, source, group, arrived, candidates).select(F.col(source).alias("_esource"), F.col("zone").alias("_ezone"))
-    timed = timed.join(F.broadcast(found), F.col(source) == F.col("_esource"), "left")  # one row per source, as bounded as `sources`
+    open_ends = timed.where(F.col("_wall").isNotNull() & F.col("_named").isNull() & F.col("_zone").isNull() & F.col(source).isNotNull())
+    if open_ends.limit(1).count():
+        unzoned = open_ends.select(source).distinct()
+        found = estimate_zones(timed.join(guarded_broadcast(unzoned), source, "left_semi").unionByName(timed.where(F.col("_abs").isNotNull()).withColumn(source, F.lit(None).cast(timed.schema[source].dataType))), source, group, arrived, candidates)
+        timed = timed.join(guarded_broadcast(found.select(F.col(source).alias("_esource"), F.col("zone").alias("_ezone"))), F.col(source) == F.col("_esource"), "left")
+    else:
+        timed = timed.withColumn("_ezone", F.lit(None).cast("string"))
     use = F.coalesce(F.col("_named"), F.col("_zone"), F.col("_ezone"))
     instant = F.coalesce(F.col("_abs"), F.when(F.col("_wall").isNotNull() & use.isNotNull(), wall_seconds(F.col("_wall"), use)))
     return timed.select(key, *group, source, text, instant.alias("instant"))

@@ -25,7 +25,7 @@ UNITS = [
     ("floor_area", 1.0, 0.0, "m2|m²|m^2|sqm|sq m|qm|square metre|square metres|square meters|quadratmeter"), ("floor_area", 100.0, 0.0, "a|are|ares|ar"), ("floor_area", 10000.0, 0.0, "ha|hectare|hectares|hektar"),
     ("floor_area", 0.09290304, 0.0, "sq ft|sqft|ft2|ft²|ft^2|square foot|square feet"), ("floor_area", 0.83612736, 0.0, "sq yd|sqyd|yd²|square yard|square yards"), ("floor_area", 4046.8564224, 0.0, "ac|acre|acres"), ("floor_area", 1e6, 0.0, "km²|km2|sq km|square kilometres"),
     ("volume", 1e-6, 0.0, "ml|millilitre|millilitres|milliliters|cm³|cc"), ("volume", 1e-5, 0.0, "cl|centilitres"), ("volume", 0.001, 0.0, "l|litre|litres|liter|liters"), ("volume", 0.1, 0.0, "hl|hectolitre|hectolitres|hektoliter"), ("volume", 1.0, 0.0, "m³|m3|m^3|cbm|cubic metre|cubic metres|cubic meters|kubikmeter"),
-    ("volume", 0.00378541178, 0.0, "us gal|us gallon|us gallons|gal (us)|gal us"), ("volume", 0.00454609, 0.0, "imp gal|imperial gallon|imperial gallons|gal (imp.)|gal (imp)|gal (uk)"), ("volume", 0.028316846592, 0.0, "ft³|ft3|ft^3|cu ft|cubic foot|cubic feet"),
+    ("volume", 0.003785411784, 0.0, "us gal|us gallon|us gallons|gal (us)|gal us"), ("volume", 0.00454609, 0.0, "imp gal|imperial gallon|imperial gallons|gal (imp.)|gal (imp)|gal (uk)"), ("volume", 0.028316846592, 0.0, "ft³|ft3|ft^3|cu ft|cubic foot|cubic feet"),
     ("temperature", 1.0, 0.0, "c|°c|℃|deg c|celsius|grad celsius|degrees celsius"), ("temperature", 5 / 9, -160 / 9, "f|°f|℉|deg f|fahrenheit|grad fahrenheit|degrees fahrenheit"), ("temperature", 1.0, -273.15, "k|kelvin|°k"),
     ("duration", 1.0, 0.0, "s|sec|secs|second|seconds|sekunden|secondes"), ("duration", 60.0, 0.0, "min|mins|minute|minutes|minuten"), ("duration", 3600.0, 0.0, "h|hr|hrs|hour|hours|std|stunden|heures"), ("duration", 86400.0, 0.0, "d|day|days|tag|tage|jour|jours"), ("duration", 604800.0, 0.0, "week|weeks|wochen|semaines"),
     ("interest_rate", 0.01, 0.0, "%|pct|percent|per cent|prozent|pour cent|v.h."), ("interest_rate", 0.001, 0.0, "‰|per mille|per mill|promille"), ("interest_rate", 0.0001, 0.0, "bp|bps|basis point|basis points|basispunkte"), ("interest_rate", 1.0, 0.0, "ratio|fraction|1"),

@@ -34,7 +34,9 @@ def p3_zones(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "feeds").select("feed_id", F.lit(None).cast("string").alias("_zone"), F.col("date_order").alias("_declared_order"))
     timed = instants.read_times(_times(spark, d).join(F.broadcast(feeds), "feed_id"), "value", "_declared_order", "_zone")
     timed = latest(timed, "cell_id", "ingested_at", "record_id", "field_key", "feed_id", "ingested_at", "_abs", "_wall", "_named")
-    return instants.estimate_zones(timed, "feed_id", ["record_id", "field_key"], "ingested_at")
+    found = instants.estimate_zones(timed, "feed_id", ["record_id", "field_key"], "ingested_at")
+    history = F.array_join(F.transform("offsets", lambda o: F.format_string("%s to %s: %d", F.date_format(o["first_hour"], "yyyy-MM"), F.date_format(o["last_hour"], "yyyy-MM"), o["minutes"])), "; ")
+    return found.select("feed_id", "zone", "violations", "evidence", history.alias("offsets"))
 
 
 def _cells_in_common_unit(spark: SparkSession, d: str, unit_table: DataFrame) -> DataFrame:
@@ -50,12 +52,12 @@ def _trust_in_common_unit(spark: SparkSession, d: str, unit_table: DataFrame) ->
 
 
 def p5_quantities(spark: SparkSession, d: str) -> DataFrame:
-    """Every quantity of cells and trust fields in its common unit, rounded to nine significant digits."""
+    """Every quantity of cells and trust fields in its common unit, rounded to eleven significant digits (ties away from zero, in any engine)."""
     unit_table = quantities.units(spark, table(spark, d, "fx_rates"))
     names = F.create_map(*[F.lit(x) for pair in quantities.COMMON_UNIT.items() for x in pair])
-    nine = F.format_string("%.8e", F.col("quantity")).alias("quantity")
-    cells = _cells_in_common_unit(spark, d, unit_table).select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.col("field_key").alias("kind"), F.when(F.col("quantity").isNotNull(), nine).alias("quantity"), F.try_element_at(names, F.col("field_key")).alias("unit"))
-    trust = _trust_in_common_unit(spark, d, unit_table).select(F.lit("trust").alias("src"), F.col("field_id").alias("row_id"), "kind", F.when(F.col("quantity").isNotNull(), nine).alias("quantity"), F.lit("EUR").alias("unit"))
+    rounded = F.format_string("%.10e", F.col("quantity") * (1 + 1e-13)).alias("quantity")
+    cells = _cells_in_common_unit(spark, d, unit_table).select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.col("field_key").alias("kind"), F.when(F.col("quantity").isNotNull(), rounded).alias("quantity"), F.try_element_at(names, F.col("field_key")).alias("unit"))
+    trust = _trust_in_common_unit(spark, d, unit_table).select(F.lit("trust").alias("src"), F.col("field_id").alias("row_id"), "kind", F.when(F.col("quantity").isNotNull(), rounded).alias("quantity"), F.lit("EUR").alias("unit"))
     return cells.unionByName(trust)
 
 
@@ -75,9 +77,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _flat(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return getattr(nested, name)(nested.parsed(table(spark, d, "mirror_artifacts")))
+        rows = getattr(nested, name)(nested.parsed(table(spark, d, "mirror_artifacts")))
+        if name == "blocks":
+            rows = rows.withColumn("bbox", F.array_join(F.transform("bbox", lambda x: F.format_string("%.2f", x)), " "))
+        return rows.drop("page_idx", "block_idx", "edge_idx", "dataset_idx", "row_idx", "item_idx")
 
-    query.__doc__ = f"The flat table of {name}."
+    query.__doc__ = f"The flat table of {name}, without the places within lists."
     return query
 
 
