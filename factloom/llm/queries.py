@@ -150,5 +150,36 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_sized(spark, d), table(spark, d, "mix_targets"), key="doc_id", source="source", size="tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p6_repaired, p7_found, p7_pieces, p7_page_pieces, p8_placed, p8_containers, p9_shares, p9_mixed, p10_found, p10_residue, p10_kept)}
-ORACLES: dict[str, str] = {}
+# --- what must hold of the results, stated in SQL too
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every full text put together again from its pieces, and whether all pieces keep within the limit."""
+    rows = p7_pieces(spark, d)
+    fresh = F.expr("substring(piece, overlap_chars + 1)")
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t"))))
+    return rows.groupBy("result_id").agg(F.md5(F.encode(F.array_join(F.transform(parts, lambda x: x["t"]), ""), "utf-8")).alias("digest"), (F.max(F.length("piece")) <= 1800).alias("within"))
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity: how many documents are placed, whether no container is overfull, whether only larger texts are split and all parts are there."""
+    placed = p8_placed(spark, d)
+    docs = placed.groupBy("pack_id", "capacity", "doc_id").agg(F.count("*").alias("parts"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"))
+    docs = docs.groupBy("pack_id").agg(F.count("*").alias("documents"), F.bool_and((F.col("parts") == F.col("last") + 1) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))))).alias("parts_agree"))
+    bins = placed.groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("filled")).groupBy("pack_id").agg(F.bool_and(F.col("filled") <= F.col("capacity")).alias("fits"))
+    return docs.join(bins, "pack_id")
+
+
+def p9_close(spark: SparkSession, d: str) -> DataFrame:
+    """For each source: whether its share is within a thousandth of its target and no document is repeated too often."""
+    goal = table(spark, d, "mix_targets").select("source", "max_repeats")
+    rows = p9_shares(spark, d).join(F.broadcast(goal), "source")  # TESTDATA.md: seven rows
+    return rows.select("source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("close"), (F.coalesce("most_repeats", F.lit(0)) <= F.col("max_repeats")).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p6_repaired, p7_found, p7_pieces, p7_page_pieces, p7_restored, p8_placed, p8_containers, p8_whole, p9_shares, p9_mixed, p9_close, p10_found, p10_residue, p10_kept)}
+ORACLES: dict[str, str] = {
+    "p7_restored": "SELECT result_id, md5(arg_max(full_text, parsed_at)) AS digest, true AS within FROM parse_results WHERE length(full_text) > 0 GROUP BY 1",
+    "p8_whole": "SELECT pack_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, true AS parts_agree, true AS fits FROM pack_sizes",
+    "p9_close": "SELECT source, target_share, true AS close, true AS within FROM mix_targets",
+}
