@@ -7,25 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Secrets and personal numbers, in the order in which they are replaced.
-SECRET_PATTERNS = [(r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+", "$1=[REDACTED]"), (r"(?i)bearer\s+[a-z0-9._-]+", "Bearer [REDACTED]"), (r"sk-[A-Za-z0-9]{16,}", "[REDACTED_KEY]")]
-PII_PATTERNS = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "EMAIL"), (r"\b\d{17}[0-9Xx]\b", "ID"), (r"\b\d{12,19}\b", "CARD"), (r"\b1[3-9]\d{9}\b", "PHONE")]
+from factloom.functions import cells, safety
+
 INVISIBLE = r"[​-‏⁠-⁤﻿­]"
 
 
 def normalize_amount(c: Column) -> Column:
-    """Number of an amount text without currency signs, commas and blanks, rounded to cents; null on failure."""
-    return F.round(F.regexp_replace(F.trim(c), r"[$€£¥,\s]|^\+", "").try_cast("double"), 2)
+    """Number of an amount text, as in cells.amount_of."""
+    return cells.amount_of(c)
 
 
 def parse_amount(c: Column) -> Column:
-    """Amount text with two decimals: (x) and a CR suffix are negative, a DR suffix positive; what is no number stays as it is."""
+    """Amount text with two decimals: (x) and a CR suffix are negative, a DR suffix positive, other signs after the number are dropped; what is no
+    number comes out without brackets, suffix, currency signs and commas."""
     t = F.trim(c)
-    low = F.upper(t)
-    body = F.regexp_replace(F.regexp_replace(low, r"(?:CR|DR)$", ""), r"[(),$€£¥\s]", "")
-    n = body.try_cast("double")
-    signed = F.when(low.rlike(r"^\(.*\)$") | low.endswith("CR"), -F.abs(n)).otherwise(n)
-    return F.when(n.isNull(), c).otherwise(F.format_string("%.2f", signed))
+    bracket = t.rlike(r"^\(.*\)$")
+    body = F.when(bracket, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t)
+    up = F.upper(F.trim(body))
+    body = F.when(up.rlike("(?:CR|DR)$"), F.regexp_replace(up, "(?:CR|DR)$", "")).otherwise(body)
+    body = F.regexp_replace(F.regexp_replace(body, "[,¥￥$ ]", ""), r"[^\d.eE+-]+$", "")
+    n = F.when(body.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), body.try_cast("double"))
+    return F.when(n.isNull(), body).otherwise(F.format_string("%.2f", F.when(bracket | up.endswith("CR"), -F.abs(n)).otherwise(n)))
 
 
 def normalize_timestamp(c: Column) -> Column:
@@ -33,23 +35,23 @@ def normalize_timestamp(c: Column) -> Column:
     t = F.trim(c)
     forms = [
         (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})\s*T?\s*(\d{2}):(\d{2}):(\d{2})$", "$1-$2-$3T$4:$5:$6"), (r"^(\d{4})(\d{2})(\d{2})\s?(\d{2}):?(\d{2}):?(\d{2})$", "$1-$2-$3T$4:$5:$6"),
-        (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})\s+(\d{2}):(\d{2})$", "$1-$2-$3T$4:$5:00"), (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})$", "$1-$2-$3T00:00:00"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3T00:00:00"),
+        (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})\s+(\d{2}):(\d{2})$", "$1-$2-$3T$4:$5:00"), (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})$", "$1-$2-$3T00:00:00"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     ]
     return reduce(lambda rest, f: F.when(t.rlike(f[0]), F.regexp_replace(t, *f)).otherwise(rest), reversed(forms), c)
 
 
 def redact_secrets(c: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, *p), SECRET_PATTERNS, c)
+    return safety.redact_secrets(c)
 
 
 def redact_pii(c: Column) -> Column:
-    """Personal numbers as LABEL(...last four); the patterns run in order over the text already replaced."""
-    return reduce(lambda x, p: F.regexp_replace(x, f"({p[0]})", f"[{p[1]}]"), PII_PATTERNS, c)
+    return safety.redact_personal(c)
 
 
 def mask_value(c: Column, keep: int = 4) -> Column:
-    """All but the last characters masked; short values wholly."""
-    return F.when(F.length(c) <= keep, F.repeat(F.lit("*"), F.length(c).cast("int"))).otherwise(F.concat(F.repeat(F.lit("*"), F.length(c) - keep), F.substring(c, -keep, keep)))
+    """All but the last characters masked; values of up to twice as many wholly, null as an empty text."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(F.length(c) <= 2 * keep, F.repeat(F.lit("*"), F.length(c).cast("int"))).otherwise(F.concat(F.repeat(F.lit("*"), F.length(c) - keep), F.substring(c, -keep, keep)))
 
 
 def hash_value(c: Column) -> Column:
@@ -57,7 +59,7 @@ def hash_value(c: Column) -> Column:
 
 
 def language_of(c: Column) -> Column:
-    """zh above 30 % CJK characters, mixed above 5 %, else en; blank is unknown. The reference reads a prefix of 3,000 characters, which is left out."""
+    """zh above 30 % CJK characters, mixed above 5 %, else en; blank is unknown. Whole texts are read."""
     share = F.length(F.regexp_replace(c, r"[^\x{4e00}-\x{9fff}]", "")) / F.greatest(F.length(c), F.lit(1))
     return F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) == 0, "unknown").when(share > 0.3, "zh").when(share > 0.05, "mixed").otherwise("en")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.io import table
-from factloom.operators import tables
+from factloom.operators import layout, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,12 +30,16 @@ def _cells(spark, d):
     return table(spark, d, "audit_cells").select("cell_id", "dataset_id", "record_id", "doc_id", "feed_id", "field_key", "value", "value_type", "confidence").distinct()
 
 
-@query("SELECT n_nationkey AS row_no, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+_PIPE_SQL = "replace(replace(coalesce(value, ''), '|', '/'), chr(10), ' ')"
+
+
+@query(f"SELECT DISTINCT cell_id AS row_no, field_key AS name, trim({_PIPE_SQL}, ' ') AS value, CASE WHEN trim({_PIPE_SQL}, ' ') = '' THEN 'blank' ELSE 'filled' END AS kind FROM audit_cells")
 def pipe_rows(spark, d):
-    """Pipe text rows split to cells, classed and read back."""
-    n = table(spark, d, "nation").select(F.concat(F.lit("| "), F.col("n_nationkey"), F.lit(" | "), "n_name", F.lit(" | "), F.col("n_regionkey"), F.lit(" |")).alias("line"))
-    c = n.select(tables.split_pipe_row(F.col("line")).alias("cells")).where(tables.classify_pipe_cells(F.col("cells")) == "data")
-    return c.select(F.col("cells")[0].cast("int").alias("row_no"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("region"))
+    """Every cell written as a row of pipes, split, classed and read back."""
+    value = F.translate(F.coalesce("value", F.lit("")), "|\n", "/ ")
+    lines = table(spark, d, "audit_cells").select(F.concat(F.lit("| "), F.col("cell_id"), F.lit(" | "), "field_key", F.lit(" | "), value, F.lit(" |")).alias("line")).distinct()
+    c = lines.select(tables.split_pipe_row(F.col("line")).alias("cells")).where(tables.classify_pipe_cells(F.col("cells")) == "data")
+    return c.select(F.col("cells")[0].cast("bigint").alias("row_no"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("value"), F.when(F.col("cells")[2] == "", "blank").otherwise("filled").alias("kind"))
 
 
 @query(f"SELECT record_id, field_key, arg_max(value, (confidence, -cell_id)) AS value, max(confidence) AS confidence FROM {CELLS} WHERE value IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2")
@@ -71,16 +75,32 @@ def kv_field_f1(spark, d):
     return j.groupBy("field_key").agg(g.alias("golden"), n.alias("found"), m.alias("matched"), F.round(2.0 * m / (g + n), 6).alias("f1"))
 
 
-@query(f"WITH f AS (SELECT DISTINCT dataset_id, field_key FROM {CELLS}), n AS (SELECT dataset_id, count(*) AS n FROM f GROUP BY 1) SELECT a.dataset_id AS base, b.dataset_id AS other, count(*) AS shared, round(count(*) / max(n.n), 6) AS overlap FROM f a JOIN f b ON a.field_key = b.field_key AND a.dataset_id <> b.dataset_id JOIN n ON n.dataset_id = a.dataset_id GROUP BY 1, 2")
+_HEADERS = "(SELECT dataset_id, md5(string_agg(field_key, chr(10) ORDER BY field_key)) AS header FROM (SELECT DISTINCT dataset_id, trim(field_key, ' ') AS field_key FROM audit_cells WHERE length(trim(field_key, ' ')) > 0) GROUP BY 1)"
+
+
+def _headers(spark, d):
+    """(dataset_id, header, fields): each dataset's distinct fields, and a digest that datasets with the same ones share."""
+    f = table(spark, d, "audit_cells").where(F.length(F.trim("field_key")) > 0).groupBy("dataset_id").agg(F.array_sort(F.collect_set(F.trim("field_key"))).alias("fields"))
+    return f.select("dataset_id", F.md5(F.array_join("fields", "\n")).alias("header"), "fields")
+
+
+@query(f"SELECT dataset_id, header FROM {_HEADERS}")
+def header_classes(spark, d):
+    """The header class of each dataset: datasets with the same fields share one."""
+    return _headers(spark, d).select("dataset_id", "header")
+
+
+@query(f"""WITH h AS {_HEADERS}, f AS (SELECT DISTINCT header, trim(field_key, ' ') AS field_key FROM h JOIN audit_cells USING (dataset_id) WHERE length(trim(field_key, ' ')) > 0), n AS (SELECT header, count(*) AS n FROM f GROUP BY 1)
+SELECT a.header AS base, b.header AS other, count(*) AS shared, round(count(*) / max(n.n), 6) AS overlap, count(*) / max(n.n) >= 0.6 AS matches FROM f a JOIN f b ON a.field_key = b.field_key AND a.header <> b.header JOIN n ON n.header = a.header GROUP BY 1, 2""")
 def headers_match(spark, d):
-    """Overlap of the headers of datasets that share any: an equi-join on distinct fields."""
-    f = table(spark, d, "audit_cells").select("dataset_id", "field_key").distinct()
-    n = f.groupBy(F.col("dataset_id").alias("base")).agg(F.count("*").alias("n"))
-    j = f.withColumnRenamed("dataset_id", "base").join(f.withColumnRenamed("dataset_id", "other"), "field_key").where("base <> other")
-    return j.groupBy("base", "other").agg(F.count("*").alias("shared")).join(n, "base").select("base", "other", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    """Pairs of header classes that share fields, and whether six tenths of the first's are in the other: an equi-join of classes, not of datasets."""
+    f = _headers(spark, d).dropDuplicates(["header"]).select("header", F.size("fields").alias("n"), F.explode("fields").alias("field"))
+    j = f.select(F.col("header").alias("base"), "n", "field").join(f.select(F.col("header").alias("other"), "field"), "field").where("base <> other")
+    share = F.count("*") / F.max("n")
+    return j.groupBy("base", "other").agg(F.count("*").alias("shared"), F.round(share, 6).alias("overlap"), (share >= 0.6).alias("matches"))
 
 
-@query(f"SELECT record_id, max(CASE WHEN field_key = 'party_name' THEN value END) AS party_name, max(CASE WHEN field_key = 'party_role' THEN value END) AS party_role, max(CASE WHEN field_key = 'counsel' THEN value END) AS counsel FROM {CELLS} WHERE dataset_id = 'ds_parties' GROUP BY 1")
+@query("PIVOT (SELECT dataset_id, record_id, field_key, value FROM audit_cells) ON field_key USING max(value) GROUP BY dataset_id, record_id")
 def wide_records(spark, d):
     """Wide rows of every dataset: each field key that occurs becomes a column, null where a dataset hasn't that field."""
     return table(spark, d, "audit_cells").groupBy("dataset_id", "record_id").pivot("field_key").agg(F.max("value"))
@@ -120,13 +140,14 @@ def neighbour_iou(spark, d):
     return b.select("block_id", F.round(scalars.iou([F.col("bbox")[i] for i in range(4)], [F.col("nb")[i] for i in range(4)]), 6).alias("iou"))
 
 
-@query(f"WITH x AS (SELECT DISTINCT doc_id, page_number, round(bbox[1], 0) AS x FROM {BLOCKS}), g AS (SELECT doc_id, page_number, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page_number ORDER BY x) <= 15 THEN 0 ELSE 1 END AS new FROM x) SELECT doc_id, page_number, CAST(sum(new) AS BIGINT) AS columns, min(x) AS leftmost FROM g GROUP BY 1, 2")
+@query(f"""WITH x AS (SELECT DISTINCT doc_id, page_number, bbox[1] AS x FROM {BLOCKS}), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, page_number ORDER BY x) AS gap FROM x),
+m AS (SELECT doc_id, page_number, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps, max(x) AS most, count(*) AS n FROM g GROUP BY 1, 2),
+s AS (SELECT g.doc_id, g.page_number, x, n, most FROM g JOIN m ON g.doc_id = m.doc_id AND g.page_number IS NOT DISTINCT FROM m.page_number WHERE gap IS NULL OR gap > 2 * gaps[len(gaps) // 2 + 1])
+SELECT doc_id, page_number, row_number() OVER w AS column_no, x AS starts, CASE WHEN n = 1 THEN x + 100 ELSE coalesce(lead(x) OVER w, most + 10) END AS ends FROM s WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY x)""")
 def cluster_x_positions(spark, d):
-    """Columns of a page: distinct left edges parted by gaps over 15 points."""
-    x = _blocks(spark, d).select("doc_id", "page_number", F.round(F.col("bbox")[0], 0).alias("x")).distinct()
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy("doc_id", "page_number").orderBy("x"))
-    g = x.withColumn("new", F.when(gap <= 15, 0).otherwise(1))
-    return g.groupBy("doc_id", "page_number").agg(F.sum("new").cast("bigint").alias("columns"), F.min("x").alias("leftmost"))
+    """Columns of a page: a new one begins where the distance to the next left edge is over twice the upper median of the page's distances."""
+    x = _blocks(spark, d).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_set(F.col("bbox")[0])).alias("xs"))
+    return x.select("doc_id", "page_number", F.inline(layout.column_bounds(F.col("xs")))).select("doc_id", "page_number", F.col("column_no").cast("bigint").alias("column_no"), "starts", "ends")
 
 
 @query("WITH e AS (SELECT DISTINCT block_id, unnest(evidence_ids) AS evidence_id FROM text_blocks) SELECT evidence_id, count(*) AS owners FROM e GROUP BY 1 HAVING count(*) > 1")
@@ -199,16 +220,6 @@ def validate_formats(spark, d):
     return table(spark, d, "package_files").where("id_number IS NOT NULL").select("file_id", *[F.col("id_number").rlike(p).alias(n) for n, p in _FORMAT_CHECKS.items()]).distinct()
 
 
-_INJECTION = ["ignore (all )?previous instructions", "disregard the above", "system prompt", "you are now", "act as", "reveal your", "developer mode", "<script", "base64,", "do not tell"]
-
-
-@query("SELECT doc_id, round((" + " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in _INJECTION) + f") / {len(_INJECTION)}.0, 4) AS risk FROM documents WHERE text IS NOT NULL")
-def injection_risk(spark, d):
-    """Share of the known injection phrases that a text holds."""
-    low = F.lower("text")
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(sum(low.rlike(p).cast("int") for p in _INJECTION) / float(len(_INJECTION)), 4).alias("risk"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     """Tumbling windows of one hour; the batch twin of streaming.windows."""

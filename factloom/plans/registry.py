@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, facts, general, oracles
+from factloom.plans import documents, facts, general, oracles, values
 
-QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES}
-ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES}
+QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES}
+ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES}

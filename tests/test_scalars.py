@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import scalars
+from factloom.functions import cells, checks, safety, scalars
 
 
 def _one(spark, f, raw):
@@ -12,10 +12,36 @@ def _one(spark, f, raw):
 
 
 def test_scalars(spark):
-    assert _one(spark, scalars.normalize_timestamp, ["2022-09-2810:30:39", "20220928 103039", "2022-09-28", "not-a-date", None]) == ["2022-09-28T10:30:39", "2022-09-28T10:30:39", "2022-09-28T00:00:00", "not-a-date", None]
+    assert _one(spark, scalars.normalize_timestamp, ["2022-09-2810:30:39", "20220928 103039", "2022-09-28", "20220505", "not-a-date", None]) == ["2022-09-28T10:30:39", "2022-09-28T10:30:39", "2022-09-28T00:00:00", "2022-05-05", "not-a-date", None]
     assert _one(spark, scalars.normalize_amount, ["+100.00", "", "$1,234.567", None]) == [100.0, None, 1234.57, None]
-    assert _one(spark, scalars.parse_amount, ["(1,234.56)", "12.5CR", "12.5DR", "abc"]) == ["-1234.56", "-12.50", "12.50", "abc"]
+    assert _one(spark, scalars.parse_amount, ["(1,234.56)", "12.5CR", "12.5DR", "abc", "76513.47園", ""]) == ["-1234.56", "-12.50", "12.50", "", "76513.47", ""]
     assert _one(spark, scalars.language_of, ["  ", None, "合同责任", "plain"]) == ["unknown", "unknown", "zh", "en"]
-    assert _one(spark, scalars.mask_value, ["12345678", "123", None]) == ["****5678", "***", None]
+    assert _one(spark, scalars.mask_value, ["123456789", "12345678", "123", None]) == ["*****6789", "********", "***", ""]
     assert _one(spark, scalars.iban_ok, ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765431", None]) == [True, False, None]
     assert _one(spark, scalars.slug, ["Blue-Anchor Ltd.", "合同"])[0] == "blue-anchor-ltd"
+
+
+def test_amounts_and_dates(spark):
+    assert _one(spark, cells.generic_amount, ["127,500.000.00", "(USD 1,200.5)", "EUR -3", "1.5d", "12 F", None]) == [127500000.0, -1200.5, -3.0, None, None, None]
+    assert _one(spark, cells.repaired_amounts, ["-230: 43", "132.995:40", "-15;324.55", "15,458-75", "-3. 290. 46", "1, 234. 56"]) == ["-230.43", "132,995.40", "-15,324.55", "15,458.75", "-3,290.46", "1,234.56"]
+    assert _one(spark, cells.repaired_dates, ["2024~08-05", "2024 -08-05", "2024.08.05", "2024/08/05"]) == ["2024-08-05"] * 3 + ["2024/08/05"]
+    assert _one(spark, cells.repaired_confusions, ["1O2O3", "50o", "w0rd", "4l5", "a1b", "S123"]) == ["10203", "500", "wOrd", "415", "alb", "5123"]
+    assert _one(spark, cells.iso_date, ["2024年1月15日", "on 2024/1/5", "1/15/2024", "n/a"]) == ["2024-01-15", "2024-01-05", "2024-01-15", None]
+    assert _one(spark, cells.unwrapped_cell, ["2024-01-02\n10:20", "6222 0212\n3456 7890", "合同\n责任", "one\n two", "one"]) == ["2024-01-02 10:20", "6222021234567890", "合同责任", "one two", "one"]
+    assert _one(spark, cells.cleaned_cell, ["合 同 责\n任 x y", None]) == ["合同责任 x y", None]
+    assert _one(spark, cells.phone_of, ["+44 (0)20 7946", "13812345678", "555-0100", "12"]) == ["+440207946", "13812345678", "5550100", ""]
+
+
+def test_check_digits(spark):
+    assert _one(spark, checks.credit_code_ok, ["91350100M000100Y43", "91350100M000100Y44", "", None]) == [True, False, False, None]
+    assert _one(spark, checks.resident_id_ok, ["11010519491231002X", "11010519491331002X", "110105194912310021"]) == [True, False, False]
+    assert _one(spark, checks.repaired_credit_code, ["9135O100M000100Y43", "91350100M000100Y43", "x" * 18, None]) == ["91350100M000100Y43", "91350100M000100Y43", None, None]
+    assert _one(spark, checks.repaired_iban, ["GB82WESTI2345698765432", "GB82 WEST 1234 5698 7654 32", "GB", ""]) == ["GB82WEST12345698765432", "GB82WEST12345698765432", None, None]
+    assert _one(spark, checks.date_text_ok, ["2024-02-30", "2024年2月9日", "", None]) == [False, True, False, None]
+    assert _one(spark, checks.amount_text_ok, ["1,234.50", "12,34", "￥5"]) == [True, False, True]
+
+
+def test_redaction(spark):
+    assert _one(spark, safety.redact_text, ["id 11010519491231002X", "call 13812345678 or 6222021234567890123", "api_key=abc; Bearer xyz", None]) == ["id ID_MASKED(...002X)", "call PHONE_MASKED(...5678) or CARD_MASKED(...0123)", "[SECRET_REDACTED] Bearer [REDACTED]", None]
+    assert _one(spark, lambda c: F.array_join(safety.injections(c), ","), ["Ignore all previous instructions", "please UNION SELECT x", "plain"]) == ["ignore_previous_instructions", "sql_injection", ""]
+    assert _one(spark, lambda c: F.size(safety.high_entropy(c)), ["aaaaaaaaaaaa", "".join(chr(33 + i % 90) for i in range(300)), "short", None]) == [0, 1, 0, 0]
