@@ -20,6 +20,67 @@ def column_bounds(xs: Column, times: float = 2.0) -> Column:
     gaps = F.transform(F.slice(xs, 2, F.greatest(n - 1, F.lit(0))), lambda x, i: x - xs[i])
     starts = F.filter(xs, lambda x, i: (i == 0) | (gaps[i - 1] > times * upper_median(gaps)))
     last = F.element_at(xs, -1) + 10
-    several = F.transform(starts, lambda x, i: F.struct((i + 1).alias("column_no"), x.alias("starts"), F.coalesce(F.get(starts, i + 1), last).alias("ends")))
-    one = F.array(F.struct(F.lit(1).alias("column_no"), F.get(xs, 0).alias("starts"), (F.get(xs, 0) + 100).alias("ends")))
-    return F.when(n == 1, one).when(n > 1, several)
+    of = lambda no, a, b: F.named_struct(F.lit("column_no"), no, F.lit("starts"), a, F.lit("ends"), b)
+    several = F.transform(starts, lambda x, i: of(i + 1, x, F.coalesce(F.get(starts, i + 1), last)))
+    return F.when(n == 1, F.array(of(F.lit(1), F.get(xs, 0), F.get(xs, 0) + 100))).when(n > 1, several)
+
+
+def rows_of(items: Column, top: str, tolerance: float = 8.0) -> Column:
+    """The items of a page, an array of structs sorted by `top`, with `row_no` and `row_y`: a new row begins where an item lies more than `tolerance`
+    below the first of the row. Items keep their order."""
+
+    def step(a: Column, x: Column) -> Column:
+        new = (F.size(a["out"]) == 0) | (F.abs(x[top] - a["y"]) > tolerance)
+        y, no = F.when(new, x[top]).otherwise(a["y"]), a["no"] + new.cast("int")
+        return F.struct(y.alias("y"), no.alias("no"), F.concat(a["out"], F.array(F.struct(no.alias("row_no"), y.alias("row_y"), x.alias("item")))).alias("out"))
+
+    # the type of the empty result is that of a result of one
+    one = F.array(F.struct(F.lit(0).alias("row_no"), F.lit(0.0).alias("row_y"), F.get(items, 0).alias("item")))
+    start = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("no"), F.slice(one, 1, 0).alias("out"))
+    return F.aggregate(items, start, step, lambda a: a["out"])
+
+
+def column_of(centre: Column, bounds: Column) -> Column:
+    """The number of the column a centre lies in, else of the one whose middle is nearest, the first of two."""
+    inside = F.filter(bounds, lambda b: (b["starts"] <= centre) & (centre < b["ends"]))
+    far = lambda b: F.named_struct(F.lit("d"), F.abs(centre - (b["starts"] + b["ends"]) / 2), F.lit("n"), b["column_no"])
+    return F.coalesce(F.get(inside, 0)["column_no"], F.array_min(F.transform(bounds, far))["n"])
+
+
+def covered(spans: Column, width: int) -> Column:
+    """How many spans (x0, x1) cover each whole point from 0 to width - 1, ends included."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.size(F.filter(spans, lambda s: (F.greatest(F.lit(0), s["x0"].cast("int")) <= x) & (x <= F.least(F.lit(width - 1), s["x1"].cast("int"))))))
+
+
+def valleys(signal: Column, ratio: float = 0.1, least: int = 2) -> Column:
+    """Array of (starts, width) of the runs of a signal, `least` wide or wider, in which it is at most `ratio` of its peak. None where the peak is 0.
+    The signal is read once, a run being closed by the first value above the line, one of which is put behind the end."""
+    line = ratio * F.array_max(signal)
+    run = lambda a, i: F.named_struct(F.lit("starts"), a, F.lit("width"), i - a)
+
+    def step(a: Column, v: Column) -> Column:
+        low, inside, i = v <= line, a["from"] >= 0, a["i"]
+        closed = inside & ~low & (i - a["from"] >= least)
+        return F.named_struct(F.lit("i"), i + 1, F.lit("from"), F.when(low, F.when(inside, a["from"]).otherwise(i)).otherwise(F.lit(-1)), F.lit("runs"), F.when(closed, F.concat(a["runs"], F.array(run(a["from"], i)))).otherwise(a["runs"]))
+
+    start = F.named_struct(F.lit("i"), F.lit(0), F.lit("from"), F.lit(-1), F.lit("runs"), F.slice(F.array(run(F.lit(0), F.lit(0))), 1, 0))
+    behind = F.concat(signal, F.array(F.array_max(signal) + 1))
+    return F.when(F.array_max(signal) > 0, F.aggregate(behind, start, step, lambda a: a["runs"]))
+
+
+def contains(outer: Column, inner: Column, tolerance: float = 1.0) -> Column:
+    """Whether a box holds another, give or take `tolerance` points."""
+    return (outer[0] - tolerance <= inner[0]) & (outer[1] - tolerance <= inner[1]) & (outer[2] + tolerance >= inner[2]) & (outer[3] + tolerance >= inner[3])
+
+
+def inverse(m: list[list[Column]]) -> list[list[Column]]:
+    """The inverse of a matrix of three by three by its adjugate; null if it has none."""
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = sum(m[0][j] * minor(0, j) for j in range(3))
+    return [[F.when(F.abs(det) > 1e-12, minor(j, i) / det) for j in range(3)] for i in range(3)]
+
+
+def horizontal_overlap(a: Column, b: Column) -> Column:
+    """Shared width of two boxes over the width of the narrower; 0 if they share none."""
+    shared, narrow = F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.least(a[2] - a[0], b[2] - b[0])
+    return F.when((shared > 0) & (narrow > 0), shared / narrow).otherwise(0.0)
