@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, facts, general, oracles, pages, values
+from factloom.plans import documents, facts, general, oracles, pages, tabular, values
 
-QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES, **pages.QUERIES}
-ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES, **pages.ORACLES}
+QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES, **pages.QUERIES, **tabular.QUERIES}
+ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES, **pages.ORACLES, **tabular.ORACLES}
