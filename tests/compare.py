@@ -61,7 +61,7 @@ def main(folder: str, names: list[str]) -> int:
     for n in names or sorted(oracles):
         try:
             why = difference(spark, folder, queries[n], oracles[n], con)
-        except Exception as e:
+        except Exception as e:  # noqa: BLE001
             why = f"{type(e).__name__}: {str(e)[:400]}"
         failed += bool(why)
         print("ok " if not why else "BAD", n, why[:600], flush=True)
