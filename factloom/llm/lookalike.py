@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import common
+from factloom.operators.common import materialized
 
 # Letters of other scripts and the Latin letters they are drawn like.
 DRAWN_ALIKE = {
@@ -157,6 +158,7 @@ def same_look(df: DataFrame, key: str, group: list[str], raw: str, clean: str =
     not their copies, and the pairs are then given out to the rows, so the work is bounded by the texts and the result."""
     digest = lambda c: F.md5(F.encode(c, "utf-8"))
     base = df.where((F.length(clean) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], digest(F.col(clean)).alias("_form"), digest(F.col(raw)).alias("_raw"))
+    base = materialized(base)  # narrow rows, so that no text is rewritten again for the joins below
     at = [*[f"_g{i}" for i in range(len(group))], "_form"]
     several = base.groupBy(*at).agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).where("_a != _b").select(*at)
     base = base.join(several, at, "left_semi")
