@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, facts, general, oracles, pages, quality, tabular, values
+from factloom.plans import documents, facts, general, oracles, pages, quality, readers, tabular, values
 
-QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES, **pages.QUERIES, **tabular.QUERIES, **quality.QUERIES}
-ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES, **pages.ORACLES, **tabular.ORACLES, **quality.ORACLES}
+QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES, **pages.QUERIES, **tabular.QUERIES, **quality.QUERIES, **readers.QUERIES}
+ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES, **pages.ORACLES, **tabular.ORACLES, **quality.ORACLES, **readers.ORACLES}
