@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, facts, general, oracles, pages, quality, readers, tabular, values
+from factloom.plans import documents, facts, general, oracles, pages, quality, readers, rendering, scenes, tabular, values
 
-QUERIES = {**general.QUERIES, **documents.QUERIES, **facts.QUERIES, **values.QUERIES, **pages.QUERIES, **tabular.QUERIES, **quality.QUERIES, **readers.QUERIES}
-ORACLES = {**oracles.ORACLES, **documents.ORACLES, **facts.ORACLES, **values.ORACLES, **pages.ORACLES, **tabular.ORACLES, **quality.ORACLES, **readers.ORACLES}
+_MODULES = (documents, facts, values, pages, tabular, quality, readers, scenes, rendering)
+QUERIES = general.QUERIES | {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = oracles.ORACLES | {k: v for m in _MODULES for k, v in m.ORACLES.items()}
