@@ -247,6 +247,14 @@ def viterbi(p: dict, scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def margin(p: dict) -> float:
+    """By how much O must lead every other tag at every character of a text for the path of O alone to be the best one, whatever the transitions: m other
+    tags in a row lose m times this much and win at most m + 1 of the greatest gains of a transition, begin or end over O's."""
+    n = len(TAGS)
+    gains = [p["T"][i, j] - p["T"][0, 0] for i in range(n) for j in range(n) if (i or j) and (not TAGS[j].startswith("I") or TAGS[i][2:] == TAGS[j][2:])]
+    return 2 * float(max(0.0, max(gains), p["Ts"].max() - p["Ts"][0], p["Te"].max() - p["Te"][0]))
+
+
 def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[str, int, int]]]:
     """Spans of each text. Windows of all texts are scored in batches of like length; each text is decoded as a whole."""
     coded = [encode(t) for t in texts]
@@ -269,7 +277,8 @@ def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[str,
             total[k][b:e] += scores[:size, col] * w[:, None]
             weight[k][b:e] += w
     scores = [s / w[:, None] if len(w) else s for s, w in zip(total, weight)]
-    worth = [k for k, e in enumerate(scores) if len(e) and (e[:, 1:].max(1) > e[:, 0] - 6).any()]
+    lead = margin(p)  # texts in which O leads by so much throughout have no spans, and needn't be decoded to know it
+    worth = [k for k, e in enumerate(scores) if len(e) and (e[:, 1:].max(1) > e[:, 0] - lead).any()]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for k, tags in zip(worth, viterbi(p, [scores[k] for k in worth])):
         out[k] = spans(tags)

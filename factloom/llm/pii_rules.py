@@ -81,14 +81,19 @@ def person(text: str, begin: int, end: int) -> tuple[int, int] | None:
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u0301\u0308\u0303\u030a\u0300\u0302"
 
 
-def _visible(text: str) -> tuple[str, list[int]]:
+def _visible(text: str) -> tuple[str, list[int] | range]:
     """The folded text without invisible characters and loose accents, and the place of each of its characters in the text."""
+    if text.isascii():
+        return text, range(len(text) + 1)
     at = [i for i, c in enumerate(text) if c not in INVISIBLE]
-    return "".join(fold(text[i]) for i in at), [*at, len(text)]
+    flat = fold(text)
+    return "".join([flat[i] for i in at]), [*at, len(text)]
 
 
 def checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The model's spans after the exact check, without overlaps; a name within another item is left out."""
+    if not found:
+        return []
     flat, at = _visible(text)
     place = {p: i for i, p in enumerate(at)}
     near = lambda p: next(place[q] for q in range(p, len(text) + 1) if q in place)

@@ -44,6 +44,15 @@ def test_viterbi_in_step_equals_one_by_one():
         assert (pii_model.viterbi(p, [s])[0] == tags).all()
 
 
+def test_texts_that_are_not_decoded_have_no_spans():
+    r, p = np.random.default_rng(3), pii.weights()
+    lead = pii_model.margin(p)
+    scores = [r.standard_normal((n, len(pii_model.TAGS))).astype(np.float32) * 3 for n in (1, 2, 5, 30, 60)]
+    for s in scores:
+        s[:, 0] = s[:, 1:].max(1) + lead + 1e-3
+    assert all((tags == 0).all() for tags in pii_model.viterbi(p, scores))
+
+
 def test_windows_cover_whole_texts():
     for n in (1, 127, 128, 129, 500, 10_001):
         w = pii_model.windows(n)
