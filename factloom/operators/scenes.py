@@ -48,23 +48,33 @@ def score(low: Column, scene: Scene, unique: dict[str, float]) -> Column:
     return sum(F.when(_held(low, w), unique[w] * length_factor(w)).otherwise(0.0) for w in scene.include)
 
 
-def keyword_evidence(text: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
-    """Array of (scene, weight, veto): scenes whose keywords score a half or more, and those that an excluding word rules out."""
-    low, unique = F.lower(text), uniqueness(scenes)
+def scores(low: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
+    """The score of each scene on a lower-case text, in the order of the scenes; to be staged, since what follows reads it often."""
+    unique = uniqueness(scenes)
+    return F.array(*[score(low, s, unique) for s in scenes])
+
+
+def vetoes(low: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
+    """Whether an excluding word rules each scene out."""
     out = []
     for s in scenes:
-        n = score(low, s, unique)
-        veto = F.lit(False)
+        ruled = F.lit(False)
         for w in s.exclude:
-            veto = veto | _held(low, w)
-        out.append(F.when(veto | (n >= 0.5), F.struct(F.lit(s.name).alias("scene"), F.when(n >= 0.5, F.least(n / 10, F.lit(0.95))).otherwise(0.0).alias("weight"), veto.alias("veto"))))
-    return F.array_compact(F.array(*out))
+            ruled = ruled | _held(low, w)
+        out.append(ruled)
+    return F.array(*out)
+
+
+def keyword_evidence(scored: Column, ruled_out: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
+    """Array of (scene, weight, veto) from the scores and vetoes of a text: scenes that score a half or more, and those that are ruled out."""
+    names = F.array(*[F.lit(s.name) for s in scenes])
+    every = F.transform(F.arrays_zip(names.alias("name"), scored.alias("n"), ruled_out.alias("veto")), lambda x: F.struct(x["name"].alias("scene"), F.when(x["n"] >= 0.5, F.least(x["n"] / 10, F.lit(0.95))).otherwise(0.0).alias("weight"), x["veto"].alias("veto")))
+    return F.filter(every, lambda x: x["veto"] | (x["weight"] > 0))
 
 
 def title_evidence(title: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
     """Array of (scene, weight): scenes of which a keyword stands in the title."""
-    low = F.lower(title)
-    return F.array_compact(F.array(*[F.when(low.rlike("|".join(s.include)), F.struct(F.lit(s.name).alias("scene"), F.lit(0.2).alias("weight"))) for s in scenes]))
+    return F.array_compact(F.array(*[F.when(title.rlike("(?i)" + "|".join(s.include)), F.struct(F.lit(s.name).alias("scene"), F.lit(0.2).alias("weight"))) for s in scenes]))
 
 
 def fused(keywords: Column, titles: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
@@ -82,9 +92,8 @@ def fused(keywords: Column, titles: Column, scenes: tuple[Scene, ...] = SCENES)
     return F.when(F.size(ranked) == 0, none).otherwise(F.struct(best["scene"].alias("scene"), confidence.alias("confidence"), ((top - second) / top < 0.15).alias("ambiguous")))
 
 
-def first_scene(text: Column, scenes: tuple[Scene, ...] = SCENES, least: float = 0.75) -> Column:
-    """(scene, keyword): the scene of the longest keyword that a text holds, scenes with an excluding word left out; unknown below `least`."""
-    low = F.lower(text)
+def first_scene(low: Column, scenes: tuple[Scene, ...] = SCENES, least: float = 0.75) -> Column:
+    """(scene, keyword): the scene of the longest keyword that a lower-case text holds, scenes with an excluding word left out; unknown below `least`."""
     hits = []
     for s in scenes:
         ruled = F.lit(False)
@@ -95,9 +104,8 @@ def first_scene(text: Column, scenes: tuple[Scene, ...] = SCENES, least: float =
     return F.when(-best["c"] >= least, F.struct(best["scene"].alias("scene"), best["keyword"].alias("keyword"))).otherwise(F.struct(F.lit("unknown").alias("scene"), F.lit("").alias("keyword")))
 
 
-def rules_matched(text: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
-    """Array of (scene, count), rules of higher priority first, then those with more keywords, then by name."""
-    low = F.lower(text)
+def rules_matched(low: Column, scenes: tuple[Scene, ...] = SCENES) -> Column:
+    """Array of (scene, count) on a lower-case text, rules of higher priority first, then those with more keywords, then by name."""
     count = lambda s: sum(_held(low, w).cast("int") for w in s.include)
-    hits = F.array_compact(F.array(*[F.when(count(s) > 0, F.struct(F.lit(-s.priority).alias("p"), (-count(s)).alias("c"), F.lit(s.name).alias("scene"))) for s in scenes]))
-    return F.transform(F.array_sort(hits), lambda h: F.struct(h["scene"].alias("scene"), (-h["c"]).alias("count")))
+    every = F.array(*[F.struct(F.lit(-s.priority).alias("p"), (-count(s)).alias("c"), F.lit(s.name).alias("scene")) for s in scenes])
+    return F.transform(F.array_sort(F.filter(every, lambda h: h["c"] < 0)), lambda h: F.struct(h["scene"].alias("scene"), (-h["c"]).alias("count")))

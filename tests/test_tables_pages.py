@@ -72,7 +72,7 @@ def test_gates(spark):
 def test_scenes(spark):
     texts = ["The tenant and the landlord signed the tenancy.", "The liquidator of the debenture; divorce followed.", "", "policy and cargo", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r["f"] for r in df.select("i", scenes.keyword_evidence(F.col("t")).alias("k"), scenes.title_evidence(F.coalesce("t", F.lit(""))).alias("h")).select("i", scenes.fused(F.col("k"), F.col("h")).alias("f")).orderBy("i").collect()]
+    got = [r["f"] for r in df.withColumn("low", F.lower("t")).select("i", scenes.keyword_evidence(scenes.scores(F.col("low")), scenes.vetoes(F.col("low"))).alias("k"), scenes.title_evidence(F.coalesce("t", F.lit(""))).alias("h")).select("i", scenes.fused(F.col("k"), F.col("h")).alias("f")).orderBy("i").collect()]
     assert got[0]["scene"] == "tenancy" and got[0]["confidence"] > 0.9 and got[1]["scene"] == "generic" and got[2]["scene"] == "generic" and got[3]["ambiguous"]
 
 
