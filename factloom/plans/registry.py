@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, evidence, facts, general, grids, oracles, pages, quality, readers, rendering, scenes, tabular, texts, values
+from factloom.plans import documents, evidence, facts, general, grids, oracles, pages, projections, quality, readers, rendering, scenes, tabular, texts, values
 
-_MODULES = (documents, facts, values, pages, tabular, quality, readers, scenes, rendering, texts, evidence, grids)
+_MODULES = (documents, facts, values, pages, tabular, quality, readers, scenes, rendering, texts, evidence, grids, projections)
 QUERIES = general.QUERIES | {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = oracles.ORACLES | {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import cells
 from factloom.io import table
 from factloom.operators import ledgers, lexicon
+from factloom.operators.common import staged
 from factloom.plans.base import Book
 from factloom.plans.documents import LINES, STATEMENT, _lines
 
@@ -67,15 +68,16 @@ def matched_columns(spark, d):
 _STRIP = "regexp_replace(regexp_replace(trim(value, ' '), '[¥￥$€£₤₩,，\\s元圆]', '', 'g'), '^\\++', '')"
 
 
-@query(f"SELECT DISTINCT cell_id, coalesce(CASE WHEN key IN ('amount', 'total_amount', 'fee') THEN 'amount' ELSE coalesce({_EXACT}, {_PART}) END, 'raw_' || field_key) AS field, CASE WHEN coalesce({_EXACT}, {_PART}) = 'amount' THEN CASE WHEN regexp_matches({_STRIP}, '^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$') AND length({_STRIP}) < 25 THEN printf('%.2f', round(try_cast({_STRIP} AS DECIMAL(38, 9)), 2)) END ELSE value END AS value FROM (SELECT cell_id, field_key, value, regexp_replace(field_key, '\\s', '', 'g') AS key FROM audit_cells WHERE length(field_key) > 0 AND NOT contains(lower(coalesce(value, '')), 'e'))")
+_NUM = f"CASE WHEN regexp_matches({_STRIP}, '^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?$') THEN CASE WHEN contains(lower({_STRIP}), 'e') OR length({_STRIP}) > 25 THEN round(try_cast({_STRIP} AS DOUBLE), 2) ELSE round(try_cast({_STRIP} AS DECIMAL(38, 9)), 2)::DOUBLE END END"
+
+
+@query(f"SELECT DISTINCT cell_id, coalesce({_EXACT}, {_PART}, 'raw_' || field_key) AS field, CASE WHEN coalesce({_EXACT}, {_PART}) = 'amount' THEN printf('%.2f', {_NUM}) ELSE value END AS value FROM (SELECT cell_id, field_key, value, regexp_replace(field_key, '\\s', '', 'g') AS key FROM audit_cells WHERE length(field_key) > 0)")
 def normalized_records(spark, d):
-    """Cells under standard names with amounts as numbers; fields without one keep their name behind raw_. Values with an e are set apart, as they may be
-    exponents or words."""
-    c = table(spark, d, "audit_cells").where("length(field_key) > 0 AND NOT contains(lower(coalesce(value, '')), 'e')").select("cell_id", "field_key", "value")
-    field = _standard(F.regexp_replace("field_key", r"\s", ""))
-    value = F.when(F.coalesce(field == "amount", F.lit(False)), F.format_string("%.2f", cells.amount_of(F.col("value")))).otherwise(F.col("value"))
-    value = F.when(F.coalesce(field == "amount", F.lit(False)) & cells.amount_of(F.col("value")).isNull(), None).otherwise(value)
-    return c.select("cell_id", F.coalesce(field, F.concat(F.lit("raw_"), "field_key")).alias("field"), value.alias("value")).distinct()
+    """Cells under standard names with amounts as numbers; fields without one keep their name behind raw_."""
+    c = table(spark, d, "audit_cells").where("length(field_key) > 0").select("cell_id", "field_key", "value")
+    c = staged(c, {"field": _standard(F.regexp_replace("field_key", r"\s", "")), "n": cells.amount_of(F.col("value"))})
+    amount = F.coalesce(F.col("field") == "amount", F.lit(False))
+    return c.select("cell_id", F.coalesce("field", F.concat(F.lit("raw_"), "field_key")).alias("field"), F.when(amount, F.when(F.col("n").isNotNull(), F.format_string("%.2f", "n"))).otherwise(F.col("value")).alias("value")).distinct()
 
 
 _SYN = "('payer', 'party', 2), ('counsel', 'party', 3), ('party_name', 'party', 1), ('entry_title', 'title', 1), ('description', 'title', 2)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import cells, checks, safety, scalars
+from factloom.functions import cells, checks, normal, safety, scalars
 
 
 def _one(spark, f, raw):
@@ -45,3 +45,9 @@ def test_redaction(spark):
     assert _one(spark, safety.redact_text, ["id 11010519491231002X", "call 13812345678 or 6222021234567890123", "api_key=abc; Bearer xyz", None]) == ["id ID_MASKED(...002X)", "call PHONE_MASKED(...5678) or CARD_MASKED(...0123)", "[SECRET_REDACTED] Bearer [REDACTED]", None]
     assert _one(spark, lambda c: F.array_join(safety.injections(c), ","), ["Ignore all previous instructions", "please UNION SELECT x", "plain"]) == ["ignore_previous_instructions", "sql_injection", ""]
     assert _one(spark, lambda c: F.size(safety.high_entropy(c)), ["aaaaaaaaaaaa", "".join(chr(33 + i % 90) for i in range(300)), "short", None]) == [0, 1, 0, 0]
+
+
+def test_normal_forms(spark):
+    assert _one(spark, normal.text, ["Ａ\u3000ﬁ\nx", "合\n同", "合 \n同", None, ""]) == ["A fi x", "合同", "合 同", None, ""]
+    assert _one(spark, normal.chars, ["a\u200bb  c\ufeff", None]) == ["ab c", None]
+    assert _one(spark, normal.label, [" Ｄate  of\tbirth： ", ":x:", None]) == ["Date of birth", "x", None]
