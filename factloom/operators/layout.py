@@ -84,3 +84,10 @@ def horizontal_overlap(a: Column, b: Column) -> Column:
     """Shared width of two boxes over the width of the narrower; 0 if they share none."""
     shared, narrow = F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.least(a[2] - a[0], b[2] - b[0])
     return F.when((shared > 0) & (narrow > 0), shared / narrow).otherwise(0.0)
+
+
+def goes_on(a: Column, b: Column) -> Column:
+    """How far a text looks like being continued by another: no end of a sentence, a small letter to begin with, no capital, number or bracket."""
+    end = ~F.substring(a, -1, 1).isin(*".。!！?？:：;；")
+    score = F.when(end, 0.4).otherwise(0.0) + F.when(b.rlike(r"^\p{Ll}"), 0.3).otherwise(0.0) + F.when(~b.rlike(r"^\p{Lu}") & ~b.rlike(r"^[0-9（(【\[]"), 0.2).otherwise(0.0)
+    return F.when((a != "") & (b != ""), score).otherwise(0.0)

@@ -125,14 +125,6 @@ def nearest_heading(spark, d):
     return b.select("block_id", "doc_id", "n", F.last(F.when(F.col("level") == "h2", F.col("block_id")), True).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias("heading_id"))
 
 
-@query(f"WITH s AS (SELECT doc_id, line_no, line, (CASE WHEN regexp_matches(line, '^(?:[A-Z][A-Z ]+|[0-9]+\\. [A-Z].{{0,60}}|[IVX]+\\..*)$') THEN 0.5 ELSE 0 END) + (CASE WHEN length(line) <= 60 THEN 0.1 ELSE 0 END) + (CASE WHEN line_no <= 3 THEN 0.1 ELSE 0 END) AS score FROM {LINES} WHERE length(trim(line, ' ')) > 0) SELECT doc_id, line_no, round(score, 2) AS score FROM s WHERE score >= 0.4 AND length(line) <= 120")
-def detect_headings(spark, d):
-    """Heading score of a line by pattern, length and position."""
-    rows = _lines(table(spark, d, "documents")).where(F.length(F.trim("line")) > 0)
-    score = F.when(F.col("line").rlike(r"^(?:[A-Z][A-Z ]+|[0-9]+\. [A-Z].{0,60}|[IVX]+\..*)$"), 0.5).otherwise(0.0) + F.when(F.length("line") <= 60, 0.1).otherwise(0.0) + F.when(F.col("line_no") <= 3, 0.1).otherwise(0.0)
-    return rows.withColumn("score", score).where("score >= 0.4 AND length(line) <= 120").select("doc_id", "line_no", F.round("score", 2).alias("score"))
-
-
 @query(f"SELECT doc_id, key, value, line_no FROM (SELECT doc_id, line_no, trim(regexp_extract(line, '^([^:]{{2,30}}): (.+)$', 1), ' ') AS key, trim(regexp_extract(line, '^([^:]{{2,30}}): (.+)$', 2), ' ') AS value FROM {LINES} WHERE regexp_matches(line, '^([^:]{{2,30}}): (.+)$')) QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) = 1")
 def key_value_recovery(spark, d):
     """`label: value` lines; the first of a key wins."""

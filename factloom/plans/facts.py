@@ -122,16 +122,6 @@ def _blocks(spark, d):
     return table(spark, d, "text_blocks").where("doc_id IS NOT NULL AND size(bbox) = 4").select("block_id", "doc_id", "page_number", "reading_order", "level", "content", "bbox").distinct()
 
 
-@query(f"WITH o AS (SELECT block_id, content, page_number, lead(page_number) OVER w AS np, lead(content) OVER w AS nc FROM {BLOCKS} WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id)), s AS (SELECT block_id, (CASE WHEN NOT regexp_matches(content, '[.!?:;]\\s*$') THEN 0.3 ELSE 0 END) + (CASE WHEN np = page_number + 1 THEN 0.25 ELSE 0 END) + (CASE WHEN regexp_matches(nc, '^[a-z]') THEN 0.35 ELSE 0 END) + (CASE WHEN regexp_matches(content, '-\\s*$') THEN 0.1 ELSE 0 END) AS score FROM o WHERE content IS NOT NULL AND nc IS NOT NULL) SELECT block_id, round(score, 2) AS score FROM s WHERE score >= 0.3")
-def detect_continuations(spark, d):
-    """Blocks that go on in the next one, by weighted signs on adjacent blocks."""
-    w = Window.partitionBy("doc_id").orderBy("page_number", "reading_order", "block_id")
-    b = _blocks(spark, d).withColumns({"np": F.lead("page_number").over(w), "nc": F.lead("content").over(w)}).where("content IS NOT NULL AND nc IS NOT NULL")
-    sign = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = sign(~F.col("content").rlike(r"[.!?:;]\s*$"), 0.3) + sign(F.col("np") == F.col("page_number") + 1, 0.25) + sign(F.col("nc").rlike("^[a-z]"), 0.35) + sign(F.col("content").rlike(r"-\s*$"), 0.1)
-    return b.select("block_id", F.round(score, 2).alias("score")).where("score >= 0.3")
-
-
 @query(f"WITH o AS (SELECT block_id, bbox, lead(bbox) OVER (PARTITION BY doc_id, page_number ORDER BY reading_order, block_id) AS nb FROM {BLOCKS}), s AS (SELECT block_id, greatest(least(bbox[3], nb[3]) - greatest(bbox[1], nb[1]), 0) * greatest(least(bbox[4], nb[4]) - greatest(bbox[2], nb[2]), 0) AS i, (bbox[3] - bbox[1]) * (bbox[4] - bbox[2]) + (nb[3] - nb[1]) * (nb[4] - nb[2]) AS u FROM o WHERE nb IS NOT NULL) SELECT block_id, CASE WHEN u - i > 0 THEN round(i / (u - i), 6) ELSE 0 END AS iou FROM s")
 def neighbour_iou(spark, d):
     """Intersection over union of each block's box with the next one's on its page."""

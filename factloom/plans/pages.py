@@ -119,15 +119,53 @@ def document_flow(spark, d):
     return rows.where("to_id IS NOT NULL").withColumn("edge_type", F.lit("reading_next"))
 
 
-@query(f"""WITH j AS (SELECT a.doc_id, a.block_id AS from_id, b.block_id AS to_id, a.page_number, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least(a.x1 - a.x0, b.x1 - b.x0) AS overlap, b.y0 AS gap FROM {B} a JOIN {B} b ON a.doc_id = b.doc_id AND b.page_number = a.page_number + 1
-WHERE a.y1 > {HEIGHT} * 0.5 AND b.y0 < 200 AND a.x1 > a.x0 AND b.x1 > b.x0) SELECT doc_id, from_id, to_id, page_number, round(overlap, 6) AS overlap, gap FROM j WHERE overlap >= 0.3""")
+_GOES_ON = "(CASE WHEN ta <> '' AND tb <> '' THEN (CASE WHEN right(ta, 1) NOT IN ('.', '。', '!', '！', '?', '？', ':', '：', ';', '；') THEN 0.4 ELSE 0 END) + (CASE WHEN regexp_matches(tb, '^\\p{Ll}') THEN 0.3 ELSE 0 END) + (CASE WHEN NOT regexp_matches(tb, '^\\p{Lu}') AND NOT regexp_matches(tb, '^[0-9（(【\\[]') THEN 0.2 ELSE 0 END) ELSE 0 END)"
+
+
+@query(f"""WITH j AS (SELECT a.doc_id, a.block_id AS from_id, b.block_id AS to_id, a.page_number, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / nullif(least(a.x1 - a.x0, b.x1 - b.x0), 0) AS overlap, b.y0 AS gap, trim(coalesce(a.content, ''), chr(10) || ' ') AS ta, trim(coalesce(b.content, ''), chr(10) || ' ') AS tb FROM {B} a JOIN {B} b ON a.doc_id = b.doc_id AND b.page_number = a.page_number + 1
+WHERE a.y1 > {HEIGHT} * 0.8 AND b.y0 < 100 AND b.y0 <= 50), c AS (SELECT *, least(1, 0.4 * overlap + 0.3 * greatest(0, 1 - gap / 50) + 0.3 * {_GOES_ON}) AS c FROM j WHERE overlap >= 0.3)
+SELECT doc_id, from_id, to_id, page_number, round(c + 1e-9, 3) AS confidence, round(c + 1e-9, 3) < 0.5 AS candidate FROM c""")
 def page_bridges(spark, d):
-    """Blocks at the end of a page and blocks at the beginning of the next that stand in one column: lower half and first 200 points, as blocks are sparse here."""
-    b = _blocks(spark, d).where("x1 > x0")
-    a = b.where(F.col("y1") > HEIGHT * 0.5).select("doc_id", (F.col("page_number") + 1).alias("next"), "page_number", F.col("block_id").alias("from_id"), F.col("bbox").alias("p"))
-    c = b.where("y0 < 200").select("doc_id", F.col("page_number").alias("next"), F.col("block_id").alias("to_id"), F.col("bbox").alias("q"))
-    overlap = layout.horizontal_overlap(F.col("p"), F.col("q"))
-    return a.join(c, ["doc_id", "next"]).withColumn("o", overlap).where("o >= 0.3").select("doc_id", "from_id", "to_id", "page_number", F.round("o", 6).alias("overlap"), F.col("q")[1].alias("gap"))
+    """Blocks in the last fifth of a page and blocks at the begin of the next that stand in one column, with how surely the one goes on in the other."""
+    b = _blocks(spark, d).where("x1 > x0").withColumn("t", F.regexp_replace(F.coalesce("content", F.lit("")), r"^[\n ]+|[\n ]+$", ""))
+    a = b.where(F.col("y1") > HEIGHT * 0.8).select("doc_id", (F.col("page_number") + 1).alias("next"), "page_number", F.col("block_id").alias("from_id"), F.col("bbox").alias("p"), F.col("t").alias("ta"))
+    c = b.where("y0 <= 50").select("doc_id", F.col("page_number").alias("next"), F.col("block_id").alias("to_id"), F.col("bbox").alias("q"), F.col("t").alias("tb"))
+    j = a.join(c, ["doc_id", "next"]).withColumn("o", layout.horizontal_overlap(F.col("p"), F.col("q"))).where("o >= 0.3")
+    confidence = F.round(F.least(F.lit(1.0), 0.4 * F.col("o") + 0.3 * F.greatest(F.lit(0.0), 1 - F.col("q")[1] / 50) + 0.3 * layout.goes_on(F.col("ta"), F.col("tb"))) + 1e-9, 3)
+    return j.select("doc_id", "from_id", "to_id", "page_number", confidence.alias("confidence"), (confidence < 0.5).alias("candidate"))
+
+
+@query(f"""WITH h AS (SELECT *, last_value(CASE WHEN level = 'h2' THEN block_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id ROWS UNBOUNDED PRECEDING) AS section FROM {B}), o AS (SELECT *, lead(page_number) OVER w AS np, lead(block_id) OVER w AS nid, lead(bbox) OVER w AS nb, lead(section) OVER w AS ns, trim(content, chr(10) || ' ') AS t FROM h WHERE level = 'body' WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id)),
+s AS (SELECT block_id, nid AS next_id, (CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?。！？;；:：…]$') THEN 0.30 ELSE 0 END) + (CASE WHEN y1 > 500 AND nb[2] < 200 THEN 0.25 ELSE 0 END) + (CASE WHEN greatest(y1 - y0, nb[4] - nb[2]) > 0 AND NOT least(y1 - y0, nb[4] - nb[2]) / greatest(y1 - y0, nb[4] - nb[2]) > 0.7 THEN 0 ELSE 0.20 END) + (CASE WHEN section = ns THEN 0.15 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[-—]$') THEN 0.10 ELSE 0 END) AS c FROM o WHERE nid IS NOT NULL AND np <> page_number)
+SELECT block_id, next_id, round(c, 3) AS confidence, c >= 0.6 - 1e-9 AS merges FROM s""")
+def detect_continuations(spark, d):
+    """Paragraphs that are followed by one of another page, with how surely the one goes on in the other, by end, place, height, section and hyphen."""
+    flow = Window.partitionBy("doc_id").orderBy("page_number", "reading_order", "block_id")
+    section = F.last(F.when(F.col("level") == "h2", F.col("block_id")), True).over(flow.rowsBetween(Window.unboundedPreceding, 0))
+    h = _blocks(spark, d).withColumn("section", section).where("level = 'body'")
+    o = h.withColumns({"np": F.lead("page_number").over(flow), "next_id": F.lead("block_id").over(flow), "nb": F.lead("bbox").over(flow), "ns": F.lead("section").over(flow), "t": F.regexp_replace("content", r"^[\n ]+|[\n ]+$", "")}).where("next_id IS NOT NULL AND np <> page_number")
+    a, b = F.col("y1") - F.col("y0"), F.col("nb")[3] - F.col("nb")[1]
+    sign = lambda c, v: F.when(c, v).otherwise(0.0)
+    score = sign((F.col("t") != "") & ~F.col("t").rlike("[.!?。！？;；:：…]$"), 0.30) + sign((F.col("y1") > 500) & (F.col("nb")[1] < 200), 0.25) + F.when((F.greatest(a, b) > 0) & ~(F.least(a, b) / F.greatest(a, b) > 0.7), 0.0).otherwise(0.20) + sign(F.col("section") == F.col("ns"), 0.15) + sign(F.col("t").rlike("[-—]$"), 0.10)
+    return o.select("block_id", "next_id", F.round(score, 3).alias("confidence"), (score >= 0.6 - 1e-9).alias("merges"))
+
+
+# Forms of headings.
+HEADINGS = (r"(第)?[一二三四五六七八九十百]+[章节部分篇条]", "[（(][一二三四五六七八九十]+[）)]", r"[0-9]+[\.、]\s*[\x{4e00}-\x{9fff}]", r"[\[【][0-9]+[\]】]", r"(?:[Cc][Hh][Aa][Pp][Tt][Ee][Rr]|[Ss][Ee][Cc][Tt][Ii][Oo][Nn]|[Pp][Aa][Rr][Tt]|[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx])\s+[0-9]+", r"[0-9]+(\.[0-9]+)*\s+[A-Z][a-zA-Z\s]{3,}", r"[A-Z]\.[0-9]+\.\s", r"[IVX]+\.\s+[A-Z]", "(摘要|概要|总结|结论|附录|参考文献|Abstract|Summary|Introduction|Conclusion|References|Appendix)")
+_HEADING = "^(?:" + "|".join(f"(?:{h})" for h in HEADINGS) + ")"
+
+
+@query(f"""WITH m AS (SELECT doc_id, page_number, list_sort(list(y1 - y0) FILTER (WHERE y1 > y0)) AS hs FROM {B} GROUP BY 1, 2), k AS (SELECT block_id, trim(content, chr(10) || ' ') AS t, x0, x1, CASE WHEN y1 > y0 THEN (y1 - y0) / hs[len(hs) // 2 + 1] ELSE 0 END AS ratio FROM {B} b JOIN m ON m.doc_id = b.doc_id AND m.page_number = b.page_number),
+s AS (SELECT block_id, (CASE WHEN regexp_matches(t, '{_HEADING}') THEN 0.5 ELSE 0 END) + (CASE WHEN ratio >= 1.5 THEN 0.3 WHEN ratio >= 1.3 THEN 0.2 WHEN ratio >= 1.1 THEN 0.1 ELSE 0 END) + (CASE WHEN length(t) <= 30 THEN 0.1 WHEN length(t) <= 50 THEN 0.05 ELSE 0 END) + (CASE WHEN x0 < 100 THEN 0.05 ELSE 0 END) + (CASE WHEN x1 - x0 > 50 AND x1 - x0 < 400 THEN 0.05 ELSE 0 END) AS s FROM k WHERE t <> '' AND length(t) <= 120)
+SELECT block_id, round(least(1, s), 2) AS score FROM s WHERE s >= 0.4 - 1e-9""")
+def detect_headings(spark, d):
+    """Blocks that are headings, by form, height against the page's upper median, length and place."""
+    b = _blocks(spark, d)
+    m = b.where("y1 > y0").groupBy(*_PAGE).agg(layout.upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("body"))
+    k = b.join(m, _PAGE, "left").withColumns({"t": F.regexp_replace("content", r"^[\n ]+|[\n ]+$", ""), "ratio": F.when(F.col("y1") > F.col("y0"), (F.col("y1") - F.col("y0")) / F.col("body")).otherwise(0.0)}).where("length(t) BETWEEN 1 AND 120")
+    n, r, w = F.length("t"), F.col("ratio"), F.col("x1") - F.col("x0")
+    s = F.when(F.col("t").rlike(_HEADING), 0.5).otherwise(0.0) + F.when(r >= 1.5, 0.3).when(r >= 1.3, 0.2).when(r >= 1.1, 0.1).otherwise(0.0) + F.when(n <= 30, 0.1).when(n <= 50, 0.05).otherwise(0.0) + F.when(F.col("x0") < 100, 0.05).otherwise(0.0) + F.when((w > 50) & (w < 400), 0.05).otherwise(0.0)
+    return k.withColumn("s", s).where("s >= 0.4 - 1e-9").select("block_id", F.round(F.least(F.lit(1.0), "s"), 2).alias("score"))
 
 
 _SECTIONS = f"h AS (SELECT doc_id, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order, block_id) AS n, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY x1 - x0 DESC)) AS level FROM {B} WHERE level = 'h2')"
