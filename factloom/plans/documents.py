@@ -133,11 +133,11 @@ def key_value_recovery(spark, d):
     return rows.groupBy("doc_id", "key").agg(F.min(F.struct("line_no", "value")).alias("b")).select("doc_id", "key", "b.value", "b.line_no")
 
 
-@query("SELECT doc_id, field_key, arg_max(value, (ingested_at, cell_id)) AS value FROM audit_cells WHERE doc_id IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2")
+@query("SELECT doc_id, field_key, arg_max(value, (coalesce(page_start, -1), cell_id, ingested_at)) AS value FROM audit_cells WHERE doc_id IS NOT NULL AND value IS NOT NULL AND length(field_key) > 0 GROUP BY 1, 2")
 def all_key_values(spark, d):
-    """Key/values of a document; the last delivery of a key wins."""
-    c = table(spark, d, "audit_cells").where("doc_id IS NOT NULL AND value IS NOT NULL")
-    return c.groupBy("doc_id", "field_key").agg(F.max_by("value", F.struct("ingested_at", "cell_id")).alias("value"))
+    """Key/values of a document; of several values of a key the last by page and place wins, keys without a name are left out."""
+    c = table(spark, d, "audit_cells").where("doc_id IS NOT NULL AND value IS NOT NULL AND length(field_key) > 0")
+    return c.groupBy("doc_id", "field_key").agg(F.max_by("value", F.struct(F.coalesce("page_start", F.lit(-1)).alias("p"), "cell_id", "ingested_at")).alias("value"))
 
 
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS balance FROM orders")
@@ -194,18 +194,20 @@ def reconciliation_gates(spark, d):
     return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"), (F.abs(F.col("o_totalprice") - F.coalesce("t", F.lit(0.0))) <= 1).alias("totals_agree"))
 
 
-_TYPE = [("datetime", r"^\d{4}-\d{2}-\d{2}[T ]"), ("date", r"^\d{4}-\d{2}-\d{2}$"), ("integer", r"^[+-]?\d+$"), ("decimal", r"^[+-]?\d+[.,]\d+$"), ("percentage", r"^[\d.,]+ ?%$")]
-_TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(value, '{p}') THEN '{t}'" for t, p in _TYPE) + " ELSE 'text' END"
+# Types of values by form, in the order in which they are tried.
+_TYPE = [("datetime", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}\s+\d{1,2}:\d{2}"), ("date", r"^\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?$"), ("time", r"^\d{1,2}:\d{2}(:\d{2})?$"), ("percentage", r"^\d+\.?\d*%$"), ("phone", r"^1[3-9]\d{9}$"), ("email", r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), ("id_number", r"^\d{17}[\dXx]$"), ("account", r"^\d{15,19}$"), ("amount", r"^[-+]?[¥￥$€£]?[\d,]+\.?\d{0,2}$")]
+_TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{t}'" for t, p in _TYPE) + " ELSE 'text' END"
 
 
-@query(f"WITH v AS (SELECT field_key, {_TYPE_SQL} AS t, count(*) AS n FROM audit_cells WHERE value IS NOT NULL GROUP BY 1, 2), s AS (SELECT field_key, t, n / sum(n) OVER (PARTITION BY field_key) AS share FROM v) SELECT field_key, CASE WHEN share >= 0.6 THEN t ELSE 'text' END AS column_type, round(share, 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY field_key ORDER BY share DESC, t) = 1")
+@query(f"WITH v AS (SELECT field_key, {_TYPE_SQL} AS t, count(*) AS n FROM (SELECT cell_id, field_key, trim(value, ' ') AS v FROM audit_cells WHERE value NOT IN ('-', '—')) WHERE v <> '' GROUP BY 1, 2), s AS (SELECT field_key, t, n / sum(n) OVER (PARTITION BY field_key) AS share FROM v) SELECT field_key, CASE WHEN share >= 0.6 THEN t ELSE 'text' END AS column_type, round(share, 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY field_key ORDER BY share DESC, t) = 1")
 def type_vote(spark, d):
-    """Column type by the vote of its values; below 60 % it is text."""
-    v = F.col("value")
+    """Column type by the vote of its values, each counting for the first form it has; below 60 % it is text. All values vote, not a sample."""
+    v = F.col("v")
     t = F.lit("text")
     for name, p in reversed(_TYPE):
         t = F.when(v.rlike(p), name).otherwise(t)
-    n = table(spark, d, "audit_cells").where("value IS NOT NULL").groupBy("field_key", t.alias("t")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "audit_cells").where("value NOT IN ('-', '—')").select("field_key", F.trim("value").alias("v")).where("v <> ''")
+    n = c.groupBy("field_key", t.alias("t")).agg(F.count("*").alias("n"))
     share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("field_key")))
     best = share.groupBy("field_key").agg(F.min(F.struct((-F.col("share")).alias("m"), "t")).alias("b"))
     return best.select("field_key", F.when(-F.col("b.m") >= 0.6, F.col("b.t")).otherwise("text").alias("column_type"), F.round(-F.col("b.m"), 6).alias("share"))
@@ -227,11 +229,14 @@ def review_recall(spark, d):
     return f.groupBy("name").agg(F.count("*").alias("fields"), F.count_if("needs_review").alias("flagged"), low.alias("low"), both.alias("both"), F.round(both / F.nullif(low, F.lit(0)), 6).alias("recall"))
 
 
-@query("SELECT package_id, count(DISTINCT file_id) AS files, count(DISTINCT subject_name) AS subjects, count(DISTINCT document_type) AS types, CASE WHEN count(DISTINCT subject_name) > 1 THEN 'warning' ELSE 'pass' END AS status FROM package_files GROUP BY 1")
+@query("""WITH p AS (SELECT package_id, count(DISTINCT file_id) AS files, count(DISTINCT CASE WHEN length(subject_name) > 0 THEN file_id END) AS named, count(DISTINCT CASE WHEN length(subject_name) > 0 THEN subject_name END) AS names, count(DISTINCT CASE WHEN length(id_number) > 0 THEN file_id END) AS identified, count(DISTINCT CASE WHEN length(id_number) > 0 THEN id_number END) AS ids, count(DISTINCT document_type) AS types, count(DISTINCT CASE WHEN document_type IS NOT NULL THEN file_id END) AS typed FROM package_files GROUP BY 1)
+SELECT package_id, files, CASE WHEN named < 2 THEN 'not_checked' WHEN names > 1 THEN 'warning' ELSE 'pass' END AS subject, CASE WHEN identified < 2 THEN 'not_checked' WHEN ids > 1 THEN 'warning' ELSE 'pass' END AS identity, typed > types AS repeated_types FROM p""")
 def package_consistency(spark, d):
-    """Whether the files of a package agree on their subject."""
-    p = table(spark, d, "package_files").groupBy("package_id").agg(F.count_distinct("file_id").alias("files"), F.count_distinct("subject_name").alias("subjects"), F.count_distinct("document_type").alias("types"))
-    return p.withColumn("status", F.when(F.col("subjects") > 1, "warning").otherwise("pass"))
+    """Whether the files of a package agree on subject and identity, where at least two state them, and whether a type occurs twice."""
+    stated = lambda c, of: F.count_distinct(F.when(F.length(c) > 0, F.col(of)))
+    p = table(spark, d, "package_files").groupBy("package_id").agg(F.count_distinct("file_id").alias("files"), stated("subject_name", "file_id").alias("named"), stated("subject_name", "subject_name").alias("names"), stated("id_number", "file_id").alias("identified"), stated("id_number", "id_number").alias("ids"), F.count_distinct("document_type").alias("types"), F.count_distinct(F.when(F.col("document_type").isNotNull(), F.col("file_id"))).alias("typed"))
+    verdict = lambda n, k: F.when(F.col(n) < 2, "not_checked").when(F.col(k) > 1, "warning").otherwise("pass")
+    return p.select("package_id", "files", verdict("named", "names").alias("subject"), verdict("identified", "ids").alias("identity"), (F.col("typed") > F.col("types")).alias("repeated_types"))
 
 
 @query(f"""WITH j AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY received_at, artifact_id) AS n, CASE WHEN (p -> '$.mirror') IS NULL AND (p -> '$.datasets') IS NULL AND json_type(p -> '$.result') = 'OBJECT' THEN (p -> '$.result') ELSE p END AS p
@@ -271,11 +276,13 @@ def audit_unpivot(spark, d):
     return o.unpivot("o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"], "field", "value").where("value IS NOT NULL")
 
 
-@query("WITH c AS (SELECT DISTINCT cell_id, value, value_type FROM audit_cells) SELECT cell_id, CASE WHEN value_type IN ('string', 'text') AND regexp_matches(value, '^[=+\\-@]') THEN '''' || value ELSE value END AS safe FROM c")
+@query("WITH c AS (SELECT DISTINCT cell_id, coalesce(value, '') AS value, coalesce(value_type, 'string') IN ('string', 'text', 'enum', 'date', 'datetime') AND regexp_matches(coalesce(value, ''), '^[=+\\-@]') AS escaped FROM audit_cells) SELECT cell_id, CASE WHEN escaped THEN chr(39) || value ELSE value END AS safe, escaped FROM c")
 def csv_safe_cells(spark, d):
-    """Spreadsheet-formula escaping of textual cells."""
-    c = table(spark, d, "audit_cells").select("cell_id", "value", "value_type").distinct()
-    return c.select("cell_id", F.when(F.col("value_type").isin("string", "text"), scalars.csv_safe(F.col("value"))).otherwise(F.col("value")).alias("safe"))
+    """Cells as they go into a spreadsheet: textual ones that begin like a formula are escaped, and marked so; null as an empty text."""
+    v = F.coalesce("value", F.lit(""))
+    escaped = F.coalesce("value_type", F.lit("string")).isin("string", "text", "enum", "date", "datetime") & v.rlike(r"^[=+\-@]")
+    c = table(spark, d, "audit_cells").select("cell_id", v.alias("v"), escaped.alias("escaped")).distinct()
+    return c.select("cell_id", F.when(F.col("escaped"), F.concat(F.lit("'"), "v")).otherwise(F.col("v")).alias("safe"), "escaped")
 
 
 @query("""WITH r AS (SELECT dataset_id, record_id, max(CASE WHEN length(trim(value, ' ')) > 0 THEN 1 ELSE 0 END) AS filled FROM audit_cells GROUP BY 1, 2)
@@ -288,10 +295,24 @@ def dataset_completeness(spark, d):
     return r.groupBy("dataset_id").agg(n.alias("expected_row_count"), k.alias("emitted_row_count"), (n - k).alias("omitted_row_count"), (n == k).alias("verified"))
 
 
-@query("SELECT dataset_id, field_key, mode(value_type) IS NOT NULL AS typed, count_if(value IS NULL) > 0 AS nullable, count_if(evidence_ref IS NOT NULL) AS evidenced, min(page_start) AS page_from, max(page_end) AS page_to FROM audit_cells GROUP BY 1, 2")
+_COLUMN_TYPE = "CASE WHEN regexp_matches(lower({v}), '^(?:true|false)$') THEN 'boolean' WHEN regexp_matches({v}, '^[+-]?[0-9]+$') THEN 'integer' WHEN regexp_matches({v}, '^[+-]?[0-9]*\\.[0-9]+$') THEN 'decimal' WHEN length({v}) > 200 THEN 'text' ELSE 'string' END"
+
+
+@query(f"""WITH n AS (SELECT dataset_id, count(DISTINCT record_id) AS records FROM audit_cells GROUP BY 1), c AS (SELECT dataset_id, field_key, arg_min(value, (cell_id, ingested_at)) FILTER (WHERE length(value) > 0) AS v, count(DISTINCT CASE WHEN length(value) > 0 THEN record_id END) AS present, bool_or(coalesce(length(raw) > 0, false)) AS raw_available, bool_or(evidence_ref IS NOT NULL) AS evidence_available, min(page_start) AS page_from, max(page_end) AS page_to FROM audit_cells GROUP BY 1, 2)
+SELECT dataset_id, field_key, replace(field_key, '_', ' ') AS label, {_COLUMN_TYPE.format(v="coalesce(v, '')")} AS type, present < records AS nullable, raw_available, evidence_available, page_from, page_to FROM c JOIN n USING (dataset_id)""")
 def dataset_columns(spark, d):
-    """Columns of a dataset: whether typed, nullable, evidenced, and their pages."""
-    return table(spark, d, "audit_cells").groupBy("dataset_id", "field_key").agg((F.count("value_type") > 0).alias("typed"), (F.count_if(F.col("value").isNull()) > 0).alias("nullable"), F.count("evidence_ref").alias("evidenced"), F.min("page_start").alias("page_from"), F.max("page_end").alias("page_to"))
+    """Columns of a dataset: label, the type of the first value that isn't blank, whether any record lacks it, whether raw texts and evidence are there, and
+    its pages."""
+    c = table(spark, d, "audit_cells")
+    n = c.groupBy("dataset_id").agg(F.count_distinct("record_id").alias("records"))
+    full = F.length("value") > 0
+    k = c.groupBy("dataset_id", "field_key").agg(
+        F.min_by("value", F.when(full, F.struct("cell_id", "ingested_at"))).alias("v"), F.count_distinct(F.when(full, F.col("record_id"))).alias("present"), F.bool_or(F.coalesce(F.length("raw") > 0, F.lit(False))).alias("raw_available"),
+        F.bool_or(F.col("evidence_ref").isNotNull()).alias("evidence_available"), F.min("page_start").alias("page_from"), F.max("page_end").alias("page_to"),
+    )
+    v = F.coalesce("v", F.lit(""))
+    kind = F.when(F.lower(v).rlike("^(?:true|false)$"), "boolean").when(v.rlike("^[+-]?[0-9]+$"), "integer").when(v.rlike(r"^[+-]?[0-9]*\.[0-9]+$"), "decimal").when(F.length(v) > 200, "text").otherwise("string")
+    return k.join(n, "dataset_id").select("dataset_id", "field_key", F.translate("field_key", "_", " ").alias("label"), kind.alias("type"), (F.col("present") < F.col("records")).alias("nullable"), "raw_available", "evidence_available", "page_from", "page_to")
 
 
 @query("SELECT DISTINCT dataset_id, record_id, format('{}:r{:06d}', dataset_id, dense_rank() OVER (PARTITION BY dataset_id ORDER BY record_id)) AS canonical_id FROM audit_cells")
@@ -402,12 +423,16 @@ def evidence_coverage(spark, d):
     return f.groupBy("artifact_key").agg(F.count("*").alias("fields"), has.alias("evidenced"), F.round(has / F.count("*"), 4).alias("coverage"), F.when(low < 0.5, "reject").when(low < 0.85, "needs_review").otherwise("auto_ingest").alias("decision"))
 
 
-@query("SELECT review_reason, mode_name, n FROM (SELECT review_reason, name AS mode_name, count(DISTINCT field_id) AS n FROM trust_fields WHERE needs_review GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY review_reason ORDER BY n DESC, mode_name) = 1")
+_OLD = "CASE WHEN old IS NULL THEN 'missing' WHEN trim(old, ' ') = '' THEN 'blank' WHEN regexp_matches(old, '^[0-9.,+-]+$') THEN 'number' ELSE 'text' END"
+
+
+@query(f"WITH m AS (SELECT field_key, value, confidence, lag(value) OVER w AS old, row_number() OVER w AS n FROM audit_cells WINDOW w AS (PARTITION BY cell_id ORDER BY ingested_at)) SELECT field_key, {_OLD} AS old_class, count(*) AS members, count(confidence) AS rated, round(avg(confidence), 6) AS confidence FROM m WHERE n > 1 GROUP BY 1, 2 HAVING count(*) >= 2")
 def mutation_patterns(spark, d):
-    """The field most often behind each reason of review: top-1 by count, then name."""
-    n = table(spark, d, "trust_fields").where("needs_review").groupBy("review_reason", F.col("name").alias("mode_name")).agg(F.count_distinct("field_id").alias("n"))
-    best = n.groupBy("review_reason").agg(F.min(F.struct((-F.col("n")).alias("m"), "mode_name")).alias("b"))
-    return best.select("review_reason", "b.mode_name", (-F.col("b.m")).alias("n"))
+    """Patterns of later deliveries of cells: their field and the class of the value before, with at least two members, and their mean confidence."""
+    w = Window.partitionBy("cell_id").orderBy("ingested_at")
+    m = table(spark, d, "audit_cells").select("field_key", "confidence", F.lag("value").over(w).alias("old"), F.row_number().over(w).alias("n")).where("n > 1")
+    kind = F.when(F.col("old").isNull(), "missing").when(F.trim("old") == "", "blank").when(F.col("old").rlike("^[0-9.,+-]+$"), "number").otherwise("text")
+    return m.groupBy("field_key", kind.alias("old_class")).agg(F.count("*").alias("members"), F.count("confidence").alias("rated"), F.round(F.avg("confidence"), 6).alias("confidence")).where("members >= 2")
 
 
 @query("SELECT DISTINCT cell_id, CASE WHEN length(regexp_replace(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) > 0 THEN regexp_replace(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') ELSE substr(sha1(value), 1, 10) END AS slug FROM audit_cells WHERE field_key = 'party_name' AND value IS NOT NULL")

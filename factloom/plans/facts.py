@@ -169,19 +169,20 @@ def package_manifest(spark, d):
     return p.agg(F.count_distinct("path").alias("paths"), F.when(F.count("document_type") > 0, types).alias("types"), F.min("received_at").alias("first_received"))
 
 
-_SCRIPTS = (("latin", "\\p{IsLatin}", "\\p{Latin}"), ("cyrillic", "\\p{IsCyrillic}", "\\p{Cyrillic}"), ("greek", "\\p{IsGreek}", "\\p{Greek}"), ("han", "\\p{IsHan}", "\\p{Han}"))
-_SCRIPT_SQL = ", ".join(f"length(regexp_replace(content, '[^{r}]', '', 'g')) AS {n}" for n, _, r in _SCRIPTS)
+# Scripts by ranges of code points; letters of none of them are Latin. Ties fall to the last by name.
+SCRIPTS = {"Arabic": "\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}", "Cyrillic": "\\x{0400}-\\x{052F}", "Devanagari": "\\x{0900}-\\x{097F}", "Han": "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}", "Hangul": "\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}", "Hiragana": "\\x{3040}-\\x{309F}", "Katakana": "\\x{30A0}-\\x{30FF}\\x{31F0}-\\x{31FF}", "Thai": "\\x{0E00}-\\x{0E7F}"}
+_COUNTS = {n: f"[^{r}]" for n, r in SCRIPTS.items()} | {"Latin": f"[{''.join(SCRIPTS.values())}\\P{{L}}]"}
 
 
-@query(f"WITH s AS (SELECT DISTINCT block_id, {_SCRIPT_SQL} FROM text_blocks WHERE length(content) > 0), m AS (SELECT *, greatest(latin, cyrillic, greek, han) AS most FROM s) SELECT block_id, CASE WHEN most = 0 THEN 'none' WHEN latin = most THEN 'latin' WHEN cyrillic = most THEN 'cyrillic' WHEN greek = most THEN 'greek' ELSE 'han' END AS script, CASE WHEN most = 0 THEN 0 ELSE round(most / (latin + cyrillic + greek + han), 6) END AS share FROM m")
+@query("WITH s AS (SELECT DISTINCT block_id, " + ", ".join(f"length(regexp_replace(content, '{r}', '', 'g')) AS {n}" for n, r in _COUNTS.items()) + f" FROM text_blocks WHERE length(content) > 0), m AS (SELECT *, greatest({', '.join(_COUNTS)}) AS most FROM s) SELECT block_id, CASE " + " ".join(["WHEN most = 0 THEN NULL", *[f"WHEN {n} = most THEN '{n}'" for n in sorted(_COUNTS, reverse=True)]]) + f" END AS script, CASE WHEN most = 0 THEN 0 ELSE round(most / ({' + '.join(_COUNTS)}), 6) END AS share FROM m")
 def detect_script(spark, d):
-    """The script most letters of a block are in, and their share."""
-    b = table(spark, d, "text_blocks").where("length(content) > 0").select("block_id", *[F.length(F.regexp_replace("content", f"[^{j}]", "")).alias(n) for n, j, _ in _SCRIPTS]).distinct()
-    most = F.greatest(*[F.col(n) for n, *_ in _SCRIPTS])
-    name = F.when(most == 0, "none")
-    for n, *_ in _SCRIPTS[:-1]:
+    """The script most letters of a block are in, the last by name of several, and their share."""
+    b = table(spark, d, "text_blocks").where("length(content) > 0").select("block_id", *[F.length(F.regexp_replace("content", r, "")).alias(n) for n, r in _COUNTS.items()]).distinct()
+    most = F.greatest(*_COUNTS)
+    name = F.when(most == 0, F.lit(None).cast("string"))
+    for n in sorted(_COUNTS, reverse=True):
         name = name.when(F.col(n) == most, n)
-    return b.select("block_id", name.otherwise("han").alias("script"), F.when(most == 0, 0.0).otherwise(F.round(most / sum(F.col(n) for n, *_ in _SCRIPTS), 6)).alias("share"))
+    return b.select("block_id", name.alias("script"), F.when(most == 0, 0.0).otherwise(F.round(most / sum(F.col(n) for n in _COUNTS), 6)).alias("share"))
 
 
 _MONEY = r"(?:EUR|USD|£|\$|€) ?[0-9][0-9,.]*[0-9]"
