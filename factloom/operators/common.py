@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.session import checkpoint_dir
@@ -78,3 +78,16 @@ def query_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPE.reset(token)
         drop_materialized(spark, scope)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], to: str = "row_no") -> DataFrame:
+    """df with each row's number within its keys, from 1. Rows are laid out by range and numbered within their part, after the parts before it are counted,
+    so that a key that holds most rows isn't ordered in one task. `order` must tell the rows of a key apart, or their numbers are any of theirs."""
+    parts = materialized(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    at = [*keys, "_part"]
+    counts = parts.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).drop("_n")
+    rows = parts.withColumn("_at", F.row_number().over(Window.partitionBy(*at).orderBy(*order)))
+    before = before.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], "_before")
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)]
+    return rows.join(before, on).select(*df.columns, (F.col("_at") + F.col("_before")).alias(to))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars
 from factloom.io import table
 from factloom.operators import ledgers, nested
-from factloom.operators.common import guarded_broadcast, latest, materialized
+from factloom.operators.common import guarded_broadcast, latest, numbered
 from factloom.plans.oracles import _elements, _opened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,14 +317,9 @@ def dataset_columns(spark, d):
 
 @query("SELECT DISTINCT dataset_id, record_id, format('{}:r{:06d}', dataset_id, dense_rank() OVER (PARTITION BY dataset_id ORDER BY record_id)) AS canonical_id FROM audit_cells")
 def canonical_record_id(spark, d):
-    """Canonical ids numbered within each dataset. Records are laid out by range and numbered within their part, after the parts before it are
-    counted, so that a dataset that holds most records isn't ordered in one task."""
-    at, order = ["dataset_id", "_part"], Window.partitionBy("dataset_id").orderBy("_part")
-    r = table(spark, d, "audit_cells").select("dataset_id", "record_id").distinct().repartitionByRange("dataset_id", "record_id")
-    r = materialized(r.withColumn("_part", F.spark_partition_id()))
-    before = r.groupBy(*at).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
-    n = F.row_number().over(Window.partitionBy(*at).orderBy("record_id")) + F.col("_before")
-    return r.join(before, at).select("dataset_id", "record_id", F.format_string("%s:r%06d", "dataset_id", n).alias("canonical_id"))
+    """Canonical ids numbered within each dataset, by range parts, so that a dataset that holds most records isn't ordered in one task."""
+    r = numbered(table(spark, d, "audit_cells").select("dataset_id", "record_id").distinct(), ["dataset_id"], ["record_id"])
+    return r.select("dataset_id", "record_id", F.format_string("%s:r%06d", "dataset_id", "row_no").alias("canonical_id"))
 
 
 @query("SELECT doc_id, string_agg(CASE WHEN level = 'h2' THEN '## ' || content ELSE content END, chr(10) || chr(10) ORDER BY page_number, reading_order, block_id) AS markdown FROM (SELECT DISTINCT block_id, doc_id, page_number, reading_order, level, content FROM text_blocks) WHERE doc_id IS NOT NULL AND length(content) > 0 GROUP BY 1")

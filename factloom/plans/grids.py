@@ -99,7 +99,9 @@ def label_values(spark, d):
     b = _blocks(spark, d)
     a = b.where("length(content) <= 60").select(*_PAGE, F.col("block_id").alias("label"), F.col("y0").alias("ay"), F.col("x1").alias("ax"))
     c = b.select(*_PAGE, F.col("block_id").alias("value"), F.col("y0").alias("by"), F.col("x0").alias("bx"))
-    j = a.join(c, _PAGE).where((F.abs(F.col("ay") - F.col("by")) <= 40) & (F.col("bx") >= F.col("ax")))
+    band = F.floor(F.col("by") / 40)  # heights meet in bands, so that not all blocks of a page meet all
+    a, c = a.withColumn("band", F.floor(F.col("ay") / 40)), c.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    j = a.join(c, [*_PAGE, "band"]).where((F.abs(F.col("ay") - F.col("by")) <= 40) & (F.col("bx") >= F.col("ax")))
     return j.groupBy("label").agg(F.min_by("value", F.struct(F.col("bx") - F.col("ax"), "value")).alias("value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import cells, checks, normal
 from factloom.io import table
-from factloom.operators.common import staged
+from factloom.operators.common import numbered, staged
 from factloom.plans.base import Book
 from factloom.plans.pages import _PAGE, _ROWS, _SIGNAL, HEIGHT, WIDTH, B, _blocks, _rows, _signals, projected_columns
 from factloom.plans.values import _AMOUNTS_SQL, _NUMBERS, _numbers
@@ -50,11 +50,10 @@ def scanned_files(spark, d):
 
 @query(f"WITH f AS (SELECT file_id, min(coalesce(document_type, 'unknown') || '/' || {_NAME}) AS target FROM package_files WHERE path IS NOT NULL GROUP BY 1) SELECT file_id, target || CASE WHEN row_number() OVER w > 1 THEN '_' || (row_number() OVER w - 1) ELSE '' END AS target FROM f WINDOW w AS (PARTITION BY target ORDER BY file_id)")
 def file_plan(spark, d):
-    """Where each file would be filed: by its type, names that are taken numbered. A name holds few files, so numbering them is no hot window."""
+    """Where each file would be filed: by its type, names that are taken numbered, by range parts, as one name may be that of most files."""
     target = F.concat(F.coalesce("document_type", F.lit("unknown")), F.lit("/"), F.regexp_extract("path", "([^/]*)$", 1))
     f = table(spark, d, "package_files").where("path IS NOT NULL").groupBy("file_id").agg(F.min(target).alias("target"))
-    n = F.row_number().over(Window.partitionBy("target").orderBy("file_id"))
-    return f.withColumn("n", n).select("file_id", F.concat("target", F.when(F.col("n") > 1, F.concat(F.lit("_"), (F.col("n") - 1).cast("string"))).otherwise("")).alias("target"))
+    return numbered(f, ["target"], ["file_id"], "n").select("file_id", F.concat("target", F.when(F.col("n") > 1, F.concat(F.lit("_"), (F.col("n") - 1).cast("string"))).otherwise("")).alias("target"))
 
 
 _TEX = "'\\frac{' || l_linenumber || '}{x_{' || l_quantity::INTEGER || '}} + \\sum ' || l_returnflag"

@@ -238,7 +238,8 @@ def caption_relations(spark, d):
     b = table(spark, d, "text_blocks").where("doc_id IS NOT NULL").select("block_id", "doc_id", "page_number", "reading_order", "level").distinct()
     f = b.where("level = 'body'").select("doc_id", "page_number", F.col("block_id").alias("target"), F.col("reading_order").alias("o"))
     c = b.where("level = 'h2'").select("doc_id", "page_number", F.col("block_id").alias("caption"), F.col("reading_order").alias("p"))
-    j = f.join(c, ["doc_id", "page_number"]).where(F.abs(F.col("o") - F.col("p")) <= 3)
+    c = c.withColumn("o", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3)))  # places meet by equality, not all headings all texts
+    j = f.join(c, ["doc_id", "page_number", "o"])
     return j.groupBy("target").agg(F.min_by("caption", F.struct(F.abs(F.col("o") - F.col("p")), "caption")).alias("caption"))
 
 

@@ -49,3 +49,10 @@ def test_broadcast_is_guarded_by_rows_and_bytes(spark):
     few = spark.createDataFrame([("x" * 100,)] * 10, "s string")
     assert hinted(common.guarded_broadcast(few)) and not hinted(common.guarded_broadcast(few, 9)) and not hinted(common.guarded_broadcast(few, 10, 500))
     assert hinted(common.guarded_broadcast(few.limit(0)))
+
+
+def test_numbers_within_keys_go_on_over_parts(spark):
+    rows = [("hot", i) for i in range(2000)] + [("b", i) for i in range(3)] + [(None, 7), (None, 8)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(7)
+    got = {(r["k"], r["i"]): r["n"] for r in common.numbered(df, ["k"], ["i"], "n").collect()}
+    assert got == {(k, i): i + 1 - (7 if k is None else 0) for k, i in rows} and common.numbered(df.limit(0), ["k"], ["i"]).count() == 0
