@@ -39,7 +39,7 @@ PLACEHOLDERS = [
 # Filler texts.
 FILLERS = [
     r"(?i)^\W*(?:your (?:content|text) (?:goes )?here|sample text|text goes here|placeholder text|dummy text|insert text here|blindtext|texte d'exemple|texto de ejemplo)\W*$",
-    r"(?i)(?:\b(?:your (?:content|text) (?:goes )?here|sample text|text goes here)\.\s*){2,}", r"(?i)^(?:x{3,}[\s.]*){6,}$", r"(?i)\b(?:lorem ipsum dolor|the quick brown fox)\b", r"(?i)(?:\bfoo\b.*\bbar\b.*\bbaz\b|asdf\s?(?:asdf|jkl))", r"(?i)\b(?:paragraph|section|page|text|heading) is (?:a dummy|dummy text|a placeholder)\b|\breplaced before publication\b",
+    r"(?i)(?:\b(?:your (?:content|text) (?:goes )?here|sample text|text goes here)\.\s*){2,}", r"(?i)^(?:x{3,}[\s.]*){6,}$", r"(?i)\b(?:lorem ipsum dolor|the quick brown fox)\b", r"(?i)(?:\bfoo\b.*\bbar\b.*\bbaz\b|asdf\s?(?:asdf|jkl))", r"(?i)\bblindtext\b(?:\W+blindtext\b)+", r"(?i)\b(?:paragraph|section|page|text|heading) is (?:a dummy|dummy text|a placeholder)\b|\breplaced before publication\b",
 ]
 # Words of filler Latin; a line made of them is filler.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor aliquam ornare velit porta nibh eget quisque tellus pharetra vestibulum erat donec feugiat libero lacus mauris nunc sodales ultricies".split()
