@@ -39,13 +39,14 @@ def _list(v: str, *marks: str) -> str:
 
 
 def block_levels(df: DataFrame, payload: str) -> int:
-    """An upper bound of the levels of blocks below the first: no more than the word `children` occurs in a payload, nor than its braces nest."""
+    """An upper bound of the levels of blocks below the first: no more than the word `children` occurs in a payload, nor than its braces nest below
+    those of the record, its mirror, a page and a first block."""
     p = F.col(payload)
     named = ((F.length(p) - F.length(F.replace(p, F.lit("children"), F.lit("")))) / len("children")).cast("int")
     braces = F.filter(F.split(F.regexp_replace(p, r"[^{}]", ""), ""), lambda c: c != "")
     step = lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most"))
     nested = F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
-    return df.agg(F.max(F.when(named > 4, F.least(named, nested)).otherwise(named)).alias("d")).first()["d"] or 0
+    return df.agg(F.max(F.when(named > 1, F.least(named, F.greatest(nested - 4, F.lit(0)))).otherwise(named)).alias("d")).first()["d"] or 0
 
 
 def unwrapped(df: DataFrame, payload: str, *keep: str) -> DataFrame:
