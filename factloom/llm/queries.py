@@ -177,9 +177,49 @@ def p9_close(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("close"), (F.coalesce("most_repeats", F.lit(0)) <= F.col("max_repeats")).alias("within"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p6_repaired, p7_found, p7_pieces, p7_page_pieces, p7_restored, p8_placed, p8_containers, p8_whole, p9_shares, p9_mixed, p9_close, p10_found, p10_residue, p10_kept)}
+_MARK = r"\[(?:EMAIL|PHONE|IDENTITY|ACCOUNT|ADDRESS|NAME)\]"
+
+
+def p1_marked(spark: SparkSession, d: str) -> DataFrame:
+    """For every text, whether as many placeholders were put in as items were found, and whether a text without items is left as it was."""
+    rows = pii.replaced(_pii_texts(spark, d), "text")
+    marks = lambda c: F.coalesce(F.regexp_count(c, F.lit(_MARK)), F.lit(0))
+    return rows.select("src", "row_id", (marks(F.col("clean")) - marks(F.col("text")) == F.col("n_items")).alias("marked"), ((F.col("n_items") > 0) | F.col("clean").eqNullSafe(F.col("text"))).alias("untouched"))
+
+
+def p4_plain(spark: SparkSession, d: str) -> DataFrame:
+    """For every text, whether one of plain ASCII comes out as it was but for blanks at its ends, and null as null."""
+    cells = latest(table(spark, d, "audit_cells"), "cell_id", "ingested_at", "raw").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.col("raw").alias("text"))
+    out = lookalike.consistent(cells, "text", _look_table(spark, d))
+    plain = F.col("text").rlike(r"^[\x00-\x7F]*$")
+    stripped = F.regexp_replace("text", r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return out.select("src", "row_id", F.when(F.col("text").isNull(), F.col("clean").isNull()).otherwise(~plain | (F.col("clean") == stripped)).alias("kept"))
+
+
+def p6_conserved(spark: SparkSession, d: str) -> DataFrame:
+    """For every scanned text, whether its repaired paragraphs hold no more characters than it does, but for the blanks between paragraphs and a sign for each
+    misread one that stands for two."""
+    repaired, (results, blocks) = p6_repaired(spark, d), _scanned(spark, d)
+    texts = results.select(F.lit("result").alias("src"), "row_id", F.array_join("pages", "\n").alias("text")).unionByName(blocks.select(F.lit("block").alias("src"), "row_id", "text"))
+    size = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    return texts.where(F.length("text") > 0).join(repaired, ["src", "row_id"]).select("src", "row_id", (size("repaired") <= size("text") * 1.05 + 4).alias("conserved"))
+
+
+def p10_counted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each source: those kept and those left out together."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    out = p10_found(spark, d).select("doc_id").withColumn("out", F.lit(1))
+    g = docs.join(out, "doc_id", "left").groupBy("source").agg(F.count_if(F.col("out").isNull()).alias("kept"), F.count_if(F.col("out").isNotNull()).alias("left_out"))
+    return g.select("source", (F.col("kept") + F.col("left_out")).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p4_found, p4_consistent, p6_found, p6_repaired, p7_found, p7_pieces, p7_page_pieces, p7_restored, p8_placed, p8_containers, p8_whole, p9_shares, p9_mixed, p9_close, p10_found, p10_residue, p10_kept, p1_marked, p4_plain, p6_conserved, p10_counted)}
 ORACLES: dict[str, str] = {
     "p7_restored": "SELECT result_id, md5(arg_max(full_text, parsed_at)) AS digest, true AS within FROM parse_results WHERE length(full_text) > 0 GROUP BY 1",
     "p8_whole": "SELECT pack_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, true AS parts_agree, true AS fits FROM pack_sizes",
+    "p1_marked": "SELECT DISTINCT src, row_id, true AS marked, true AS untouched FROM (SELECT 'content' AS src, block_id AS row_id FROM text_blocks UNION ALL SELECT unnest(['id_number', 'account_number']), file_id FROM package_files)",
+    "p4_plain": "SELECT DISTINCT 'cell' AS src, cell_id AS row_id, true AS kept FROM audit_cells",
+    "p6_conserved": "SELECT 'result' AS src, result_id AS row_id, true AS conserved FROM parse_results WHERE extraction_method = 'ocr' AND length(full_text) > 0 GROUP BY ALL UNION ALL SELECT 'block', block_id, true FROM text_blocks WHERE contains(content, chr(10)) GROUP BY ALL",
+    "p10_counted": "SELECT source, count(*) AS documents FROM documents GROUP BY 1",
     "p9_close": "SELECT source, target_share, true AS close, true AS within FROM mix_targets",
 }
