@@ -184,3 +184,33 @@ def merged_split_rows(t: Column) -> Column:
 
     below = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
     return F.aggregate(below, F.array(F.get(t, 0)), fold)
+
+
+def value_class(c: Column) -> Column:
+    """empty, number, date, cjk_text, latin_text or symbol."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(t == "", "empty").when(F.regexp_replace(t, "[,，]", "").rlike(r"^[+-]?\d+(?:\.\d+)?$"), "number").when(t.rlike(r"\d{4}[-/年]\d{1,2}"), "date").when(t.rlike(r"[\x{4e00}-\x{9fff}]"), "cjk_text").when(t.rlike("[A-Za-z]"), "latin_text").otherwise("symbol")
+
+
+def inferred_header(df: DataFrame, table: str) -> DataFrame:
+    """df with `header` (the row, or -1) and `score`: of the first three rows that look like headers, the one below which columns are of one class each, that
+    is filled and whose labels differ; the first on ties."""
+    t = F.col(table)
+    df = staged(df, {"_classes": F.transform(t, lambda row: F.transform(row, value_class)), "_labels": F.transform(F.slice(t, 1, 3), is_header_row)})
+    widths = F.array_max(F.transform("_classes", F.size))
+
+    def modal(col: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(col), lambda k: F.size(F.filter(col, lambda x: x == k)))) / F.size(col)
+
+    def candidate(i: Column) -> Column:
+        below = F.slice("_classes", i + 2, F.greatest(F.size("_classes") - i - 1, F.lit(0)))
+        columns = F.transform(F.sequence(F.lit(0), widths - 1), lambda j: F.filter(F.transform(below, lambda r: F.get(r, j)), lambda k: k.isNotNull() & (k != "empty")))
+        shares = F.transform(F.filter(columns, lambda c: F.size(c) >= 2), modal)
+        row = F.filter(t[i], lambda c: ~_blank(c))
+        fill, differ = F.size(row) / F.size(t[i]), F.size(F.array_distinct(row)) / F.greatest(F.size(row), F.lit(1))
+        mean = F.when(F.size(shares) > 0, F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares)).otherwise(0.0)
+        return F.named_struct(F.lit("neg"), -F.round(mean * fill * (0.7 + 0.3 * differ), 6), F.lit("i"), i)
+
+    tried = F.filter(F.transform("_labels", lambda ok, i: F.when(ok, candidate(i))), lambda x: x.isNotNull())
+    df = staged(df, {"_best": F.array_min(tried)})
+    return df.select(*[c for c in df.columns if not c.startswith("_")], F.coalesce("_best.i", F.lit(-1)).alias("header"), F.coalesce(-F.col("_best.neg"), F.lit(0.0)).alias("score"))

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.io import table
-from factloom.operators import layout
+from factloom.operators import layout, tables
 from factloom.operators.common import staged
 from factloom.plans.base import Book
 from factloom.plans.documents import LINES, _lines
 from factloom.plans.pages import _BOUNDS, _PAGE, _ROWS, B, _blocks, _rows
-from factloom.plans.tabular import T, _tables
+from factloom.plans.tabular import _IS_HEADER, T, _tables
 
 query = Book()
 
@@ -180,4 +180,17 @@ def preamble_pairs(spark, d):
     return _tables(spark, d).select("block_id", F.array_join(F.flatten(F.transform("t", pair)), ";").alias("pairs"))
 
 
+_CLS = "CASE WHEN trim(c, ' ') = '' THEN 'empty' WHEN regexp_matches(regexp_replace(trim(c, ' '), '[,，]', '', 'g'), '^[+-]?[0-9]+(?:\\.[0-9]+)?$') THEN 'number' WHEN regexp_matches(trim(c, ' '), '[0-9]{4}[-/年][0-9]{1,2}') THEN 'date' WHEN regexp_matches(c, '[\\x{4e00}-\\x{9fff}]') THEN 'cjk_text' WHEN regexp_matches(c, '[A-Za-z]') THEN 'latin_text' ELSE 'symbol' END"
+
+
+@query(f"""WITH k AS (SELECT block_id, t, i FROM (SELECT block_id, t, unnest(range(1, least(3, len(t)) + 1)) AS i FROM {T}) WHERE {_IS_HEADER.replace(' r IF', ' t[i] IF').replace('IN r ', 'IN t[i] ')}),
+c AS (SELECT block_id, i, j, {_CLS} AS class, count(*) AS n FROM (SELECT block_id, i, j, t[m][j] AS c FROM (SELECT block_id, t, i, m, unnest(range(1, len(t[m]) + 1)) AS j FROM (SELECT block_id, t, i, unnest(range(i + 1, len(t) + 1)) AS m FROM k))) WHERE trim(c, ' ') <> '' GROUP BY 1, 2, 3, 4),
+s AS (SELECT block_id, i, avg(share) AS mean FROM (SELECT block_id, i, j, max(n) / sum(n) AS share, sum(n) AS total FROM c GROUP BY 1, 2, 3) WHERE total >= 2 GROUP BY 1, 2),
+f AS (SELECT k.block_id, k.i, round(coalesce(mean, 0) * len([c FOR c IN t[k.i] IF trim(c, ' ') <> '']) / len(t[k.i]) * (0.7 + 0.3 * len(list_distinct([c FOR c IN t[k.i] IF trim(c, ' ') <> ''])) / len([c FOR c IN t[k.i] IF trim(c, ' ') <> ''])), 6) AS score FROM k LEFT JOIN s ON s.block_id = k.block_id AND s.i = k.i),
+b AS (SELECT block_id, arg_min(i, (-score, i)) - 1 AS header, max(score) AS score FROM f GROUP BY 1) SELECT a.block_id, coalesce(header, -1)::INTEGER AS header, coalesce(score, 0)::DOUBLE AS score FROM {T} a LEFT JOIN b ON b.block_id = a.block_id""")
+def inferred_headers(spark, d):
+    """The header of each table by what stands below its candidates."""
+    return tables.inferred_header(_tables(spark, d), "t").select("block_id", "header", "score")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
