@@ -85,3 +85,37 @@ def apart(found: list[tuple[str, int]]) -> list[tuple[str, int]]:
             out.append((w, at))
             free = at + len(w)
     return out
+
+
+#: Likeness of labels from which one stands for the other.
+ALIKE = 0.74
+
+
+def first_labels(labels: list[str]) -> list[tuple[str, str]]:
+    """(label, kept) of labels in their order: each falls to the first kept one that it is alike to, by the share of matching blocks, or is kept."""
+    from difflib import SequenceMatcher
+
+    kept: list[str] = []
+    out = []
+    for x in labels:
+        same = next((k for k in kept if SequenceMatcher(None, x, k).ratio() >= ALIKE), None)
+        if same is None:
+            kept.append(x)
+        out.append((x, same or x))
+    return out
+
+
+def similar_labels(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
+    """(keys, value, label, kept): labels under which one value is given several times, and the one that stands for them. Values given under one label, and
+    null or blank ones, are left out; what is compared is the labels of one value, never values with one another."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    keep, types = first_labels, dict(df.dtypes)
+    groups = df.where(F.length(F.trim(value)) > 0).groupBy(*keys, value).agg(F.array_sort(F.collect_set(label)).alias("_labels")).where(F.size("_labels") > 1)
+    cols = [*keys, value]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*k, a, b) for k, ls in zip(pdf[cols].itertuples(index=False, name=None), pdf["_labels"]) for a, b in keep(list(ls))]
+            yield pd.DataFrame(rows, columns=[*cols, "label", "kept"])
+
+    return groups.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", label string, kept string")

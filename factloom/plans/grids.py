@@ -193,4 +193,33 @@ def inferred_headers(spark, d):
     return tables.inferred_header(_tables(spark, d), "t").select("block_id", "header", "score")
 
 
+_TR = f"(SELECT b.doc_id, b.page_number, b.block_id, t FROM {T} JOIN (SELECT DISTINCT block_id, doc_id, page_number FROM text_blocks WHERE doc_id IS NOT NULL) b USING (block_id))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, page_number, block_id, list_distinct([array_to_string(r, chr(31)) FOR r IN t]) AS rs FROM {_TR}) SELECT DISTINCT a.block_id FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.block_id <> b.block_id WHERE len(list_intersect(a.rs, b.rs)) = len(a.rs) AND (len(a.rs) < len(b.rs) OR (len(a.rs) = len(b.rs) AND a.block_id > b.block_id))""")
+def redundant_tables(spark, d):
+    """Tables of which every row stands in another table of the page that has more, or as many and came first. Tables meet through their rows; copies are set
+    aside before."""
+    b = table(spark, d, "text_blocks").where("doc_id IS NOT NULL").select("block_id", "doc_id", "page_number").distinct()
+    t = _tables(spark, d).select("block_id", F.array_sort(F.array_distinct(F.transform("t", lambda r: F.md5(F.encode(F.array_join(r, "\x1f"), "utf-8"))))).alias("rs")).join(b, "block_id")
+    first = t.groupBy(*_PAGE, "rs").agg(F.min("block_id").alias("first"))
+    copies = t.join(first, [*_PAGE, "rs"]).where("block_id > first").select("block_id")
+    rows = first.select(*_PAGE, F.col("first").alias("id"), F.size("rs").alias("n"), F.explode("rs").alias("r"))
+    other = rows.select(*_PAGE, "r", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    within = rows.join(other, [*_PAGE, "r"]).where("id <> id2 AND n < n2").groupBy("id", "id2").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where("shared = n")
+    # a copy of a table that is within another is within it too
+    inner = within.select("id").distinct()
+    copies_within = t.join(first, [*_PAGE, "rs"]).join(inner, F.col("first") == F.col("id")).select("block_id")
+    return copies.unionByName(copies_within).distinct()
+
+
+@query()
+def similar_fields(spark, d):
+    """Fields of a record that give one value under labels that are alike; tested against brute force."""
+    from factloom.operators import lexicon
+
+    c = table(spark, d, "audit_cells").select("record_id", "field_key", "value")
+    return lexicon.similar_labels(c, ["record_id"], "field_key", "value")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -30,7 +30,7 @@ def test_oracle_on_larger_tables(spark, databases, name):
 
 
 def test_queries_without_sql_give_rows(spark):
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"p3_zones", "lexicon_corrections", "normalized_blocks"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"p3_zones", "lexicon_corrections", "normalized_blocks", "similar_fields"}
     for name in ("p3_zones", "lexicon_corrections", "normalized_blocks"):
         assert registry.QUERIES[name](spark, FOLDER).count() > 0
 

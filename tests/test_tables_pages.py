@@ -104,6 +104,22 @@ def test_weighted_distance():
     assert lexicon.unique_term("c0urt", ["court", "chart"]) == ("court", 0.2) and lexicon.unique_term("coxrt", ["court", "coart"]) is None and lexicon.unique_term("court", ["court"]) is None
 
 
+def test_similar_labels(spark):
+    assert lexicon.first_labels(["account no", "account no.", "address", "adress"]) == [("account no", "account no"), ("account no.", "account no"), ("address", "address"), ("adress", "address")]
+    rows = [(1, "account no", "7"), (1, "account no.", "7"), (1, "other", "7"), (1, "alone", "8"), (2, "account no", "7"), (2, "x", None), (2, "y", " ")]
+    df = spark.createDataFrame(rows, "r int, f string, v string").withColumn("kept", F.lit("clash"))
+    got = {tuple(x) for x in lexicon.similar_labels(df, ["r"], "f", "v").collect()}
+    assert got == {(1, "7", "account no", "account no"), (1, "7", "account no.", "account no"), (1, "7", "other", "other")}
+    assert lexicon.similar_labels(df.limit(0), ["r"], "f", "v").count() == 0
+
+
+def test_inferred_header(spark):
+    t = [["Report of", "the year", ""], ["Date", "Name", "Sum"], ["2024-01-02", "Ann", "9.50"], ["2024-01-03", "Bob", "8"]]
+    df = spark.createDataFrame([(1, t), (2, [["1.00", "2"], ["3", "4"]])], "i int, t array<array<string>>")
+    got = {r["i"]: (r["header"], r["score"]) for r in tables.inferred_header(df, "t").collect()}
+    assert got[1][0] == 1 and got[1][1] == 1.0 and got[2] == (-1, 0.0)
+
+
 def test_markdown(spark):
     df = spark.createDataFrame([("# a\n- b\n12) c *d* | <e> ![i](u)\t.\n\n\n\nf",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(rendering.escaped(F.col("t"))).collect()]

@@ -67,3 +67,10 @@ def test_graph_diff_compares_deliveries(spark, tmp_path):
         "node_added": 1, "node_removed": 1, "node_changed": 1, "confidence_changed": 1, "node_same": 4, "edge_added": 1, "edge_removed": 1, "edge_same": 3,
         "quality_decision_changed": 1, "quality_decision_same": 1,
     }
+
+
+def test_redundant_tables(spark, tmp_path):
+    big, small = "a, b\n1, 2\n3, 4", "a, b\n1, 2"
+    rows = [(1, 7, 1, big), (2, 7, 1, small), (3, 7, 1, small), (4, 7, 2, small), (5, 7, 1, big), (6, 7, 1, "x, y\n1, 2"), (7, None, 1, small), (8, 7, 1, None)]
+    d = _of(spark, tmp_path, text_blocks=(rows, "block_id bigint, doc_id bigint, page_number int, content string"))
+    assert {r["block_id"] for r in registry.QUERIES["redundant_tables"](spark, d).collect()} == {2, 3, 5}
