@@ -68,6 +68,29 @@ def valleys(signal: Column, ratio: float = 0.1, least: int = 2) -> Column:
     return F.when(F.array_max(signal) > 0, F.aggregate(behind, start, step, lambda a: a["runs"]))
 
 
+def edges(x0: Column, x1: Column, width: int) -> Column:
+    """Array of (x, d): at which whole points from 0 to `width` - 1 a span begins to cover, ends included, and ceases to, with the change in how many
+    cover. What ceases at `width` or later is left to the end; a span that covers none changes nothing, at 0."""
+    a, b = F.least(F.lit(float(width)), F.greatest(F.lit(0.0), x0)).cast("int"), F.greatest(F.lit(-1.0), F.least(F.lit(width - 1.0), x1)).cast("int") + 1
+    mark = lambda x, d: F.named_struct(F.lit("x"), F.when(a < b, x).otherwise(0), F.lit("d"), F.when(a < b, d).otherwise(0))
+    return F.filter(F.array(mark(a, 1), mark(b, -1)), lambda e: e["x"] < width)
+
+
+def levels(changes: Column) -> Column:
+    """Array of (x, v) from changes (x, d) sorted by x: from x on v spans cover, up to the next x. None cover before the first."""
+    level = lambda x, v: F.named_struct(F.lit("x"), x, F.lit("v"), v)
+    return F.aggregate(changes, F.array(level(F.lit(0), F.lit(0).cast("bigint"))), lambda a, e: F.concat(a, F.array(level(e["x"], F.element_at(a, -1)["v"] + e["d"]))))
+
+
+def low_runs(steps: Column, line: Column, width: int, least: int = 2) -> Column:
+    """Array of (starts, width) of the runs, `least` wide or wider, in which `levels` are at most `line`; the last level reaches to `width`."""
+    low = lambda i: F.get(steps, i)["v"] <= line
+    starts = F.filter(steps, lambda s, i: (s["v"] <= line) & ((i == 0) | ~low(i - 1)))
+    ends = F.filter(steps, lambda s, i: (s["v"] > line) & low(i - 1))
+    run = lambda s, e: F.named_struct(F.lit("starts"), s["x"], F.lit("width"), e - s["x"])
+    return F.filter(F.zip_with(starts, F.concat(F.transform(ends, lambda e: e["x"]), F.array(F.lit(width))), run), lambda r: r["width"] >= least)
+
+
 def contains(outer: Column, inner: Column, tolerance: float = 1.0) -> Column:
     """Whether a box holds another, give or take `tolerance` points."""
     return (outer[0] - tolerance <= inner[0]) & (outer[1] - tolerance <= inner[1]) & (outer[2] + tolerance >= inner[2]) & (outer[3] + tolerance >= inner[3])

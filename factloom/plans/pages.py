@@ -87,8 +87,12 @@ def _signals(spark, d):
 SELECT doc_id, page_number, min(x)::INTEGER AS starts, count(*)::INTEGER AS width FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 2""")
 def page_valleys(spark, d):
     """Runs of at least two points across a page in which at most a tenth as many blocks stand as where most do."""
-    rows = _signals(spark, d).select(*_PAGE, F.inline(layout.valleys(F.col("signal"))))
-    return rows.select(*_PAGE, F.col("starts").cast("int").alias("starts"), F.col("width").cast("int").alias("width"))
+    edges = _blocks(spark, d).select(*_PAGE, "block_id", F.inline(layout.edges(F.col("x0"), F.col("x1"), WIDTH)))
+    changes = edges.groupBy(*_PAGE, "x").agg(F.sum(F.when(F.col("block_id").isNotNull(), F.col("d")).otherwise(0)).alias("d"))
+    pages = changes.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("x", "d"))).alias("changes"))
+    pages = staged(pages, {"levels": layout.levels(F.col("changes"))})
+    pages = staged(pages, {"line": 0.1 * F.array_max(F.col("levels.v"))})
+    return pages.select(*_PAGE, F.inline(layout.low_runs(F.col("levels"), F.col("line"), WIDTH)))
 
 
 @query(f"""WITH {_SIGNAL}, i AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, page_number ORDER BY x) AS island FROM sig WHERE v = 0), gaps AS (SELECT doc_id, page_number, (min(x) + max(x) + 1) / 2.0 AS mid FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 15),
